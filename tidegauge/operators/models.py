@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.functions import lag_for_step
-from tidegauge.operators.ordered import lag_on_grid  # noqa: F401  (re-exported for callers)
 
 Model = Callable[[np.ndarray, int, int, dict], np.ndarray]
 
@@ -181,11 +180,17 @@ register_model("SeasonalNaive", seasonal_naive)
 register_model("LastValue", last_value)
 
 
-def run_model(name: str, values, horizon: int, step_s: int, params: dict | None) -> tuple[np.ndarray | None, str]:
+def model_functions() -> dict[str, Model]:
+    """The registered functions, to travel with a task: executors do not see what the driver registered."""
+    return {name: r.fn for name, r in MODELS.items()}
+
+
+def run_model(fns: dict[str, Model], name: str, values, horizon: int, step_s: int,
+              params: dict | None) -> tuple[np.ndarray | None, str]:
     """Forecast and status; a failing fit becomes a status, never an exception of the job."""
     try:
         y = filled(np.asarray(values, dtype=float))
-        out = np.asarray(MODELS[name].fn(y, horizon, step_s, dict(params or {})), dtype=float)
+        out = np.asarray(fns[name](y, horizon, step_s, dict(params or {})), dtype=float)
         return out, "ok"
     except Exception as exc:  # noqa: BLE001
         return None, f"failed: {exc}"[:200]
@@ -211,7 +216,7 @@ def forecast_units(units: DataFrame, keys: Sequence[str], step_s: int) -> DataFr
 
     Returns `(keys…, model, step_idx, y_hat, status)`; a failed unit keeps its steps with null.
     """
-    keep = [*keys, "model"]
+    keep, fns = [*keys, "model"], model_functions()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.select(*keep).schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,7 +225,7 @@ def forecast_units(units: DataFrame, keys: Sequence[str], step_s: int) -> DataFr
                 h = int(row["horizon"])
                 if h <= 0:
                     continue
-                out, status = run_model(row["model"], row["values"], h, step_s, _params(row["params"]))
+                out, status = run_model(fns, row["model"], row["values"], h, step_s, _params(row["params"]))
                 steps = int(row["first_step"]) + np.arange(h)
                 frame = pd.DataFrame({"step_idx": steps, "y_hat": out if out is not None else np.nan})
                 for k in keep:

@@ -201,6 +201,8 @@ def cooldown_accept(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence
     carry_schema = key_schema + "".join(f", _last{i} bigint" for i in range(len(specs)))
     carry = summary.groupBy(*keys).applyInPandas(compose, carry_schema)
 
+    out_columns = [*df.columns, *[s[0] for s in specs]]
+
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order_us, kind="stable")
         for i, (name, cand, forced, cd) in enumerate(specs):
@@ -209,7 +211,7 @@ def cooldown_accept(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence
             done = np.zeros(len(pdf), dtype=bool)
             done[np.flatnonzero(mask)[_walk(at, hard, None if pd.isna(last) else int(last), cd)]] = True
             pdf[name] = done
-        return pdf[[*df.columns, *[s[0] for s in specs]]]
+        return pdf[out_columns]
 
     out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     out_schema += "".join(f", {s[0]} boolean" for s in specs)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions import SANITIZED_VALUE, sanitize_prediction
 from tidegauge.operators.models import (
-    MODELS, _params, forecast_units, model_structs, run_model, split_sizes, spread,
+    MODELS, Model, _params, forecast_units, model_functions, model_structs, run_model, split_sizes, spread,
 )
 from tidegauge.operators.ordered import step_chunk, with_running_sum
 
@@ -76,7 +76,7 @@ def tune(arrays: DataFrame, trials: list[tuple], step_s: int, keys: Sequence[str
         *keys, F.col("_t.model").alias("model"), F.col("_t.trial").alias("trial"), F.col("_t.params").alias("params"),
         F.slice("values", F.lit(1), n_train + n_val).alias("values"), n_train.alias("fit"),
     )
-    keep = [*keys, "model", "trial"]
+    keep, fns = [*keys, "model", "trial"], model_functions()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.select(*keep).schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,7 +85,7 @@ def tune(arrays: DataFrame, trials: list[tuple], step_s: int, keys: Sequence[str
             for row in pdf.to_dict("records"):
                 y, n = np.asarray(row["values"], dtype=float), int(row["fit"])
                 params = _params(row["params"])
-                predicted, status = run_model(row["model"], y[:n], len(y) - n, step_s, params) if n else (None, "empty")
+                predicted, status = run_model(fns, row["model"], y[:n], len(y) - n, step_s, params) if n else (None, "empty")
                 value = rmse(y[n:], predicted) if predicted is not None and len(y) > n else np.nan
                 failed = not np.isfinite(value)
                 out.append([*[row[k] for k in keep], params, FAILED_RMSE if failed else value,
@@ -217,7 +217,7 @@ def simple_component_scores(split_df: DataFrame, backward: int, forward: int, la
 
 def _score_units(units: DataFrame, keys: Sequence[str], step_s: int) -> DataFrame:
     """RMSE of one model on the tails of a run of blocks; `values` reaches to the last block start."""
-    keep = [*keys, "model"]
+    keep, fns = [*keys, "model"], model_functions()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.select(*keep).schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,7 +229,7 @@ def _score_units(units: DataFrame, keys: Sequence[str], step_s: int) -> DataFram
                     fit, end = int(b["tail_start"]), int(b["block_start"])
                     score, status = np.nan, "not scored"
                     if end > fit > 0:
-                        predicted, status = run_model(row["model"], y[:fit], end - fit, step_s, params)
+                        predicted, status = run_model(fns, row["model"], y[:fit], end - fit, step_s, params)
                         score = rmse(y[fit:end], sanitized(predicted, end - fit))
                     out.append([*[row[k] for k in keep], int(b["block"]), score, status])
                 yield pd.DataFrame(out, columns=[*keep, "block", "rmse", "status"])
@@ -305,14 +305,14 @@ def ensemble_backtest(arrays: DataFrame, models: dict[str, dict], backward: int,
     return choices, done.withColumn("y_hat", sanitize_prediction("y_hat"))
 
 
-def select_online(y: np.ndarray, models: dict[str, dict], current: str, backward: int, step_s: int) -> tuple[str, float]:
+def select_online(fns: dict[str, Model], y: np.ndarray, models: dict[str, dict], current: str, backward: int, step_s: int) -> tuple[str, float]:
     """Sticky choice on the last `backward` points: switch only to a strictly smaller error."""
     if len(y) <= backward:
         return current, float("nan")
     fit, tail = y[:-backward], y[-backward:]
     best, best_rmse = current, float("inf")
     for name in [current, *[m for m in models if m != current]]:
-        predicted, _ = run_model(name, fit, backward, step_s, models[name])
+        predicted, _ = run_model(fns, name, fit, backward, step_s, models[name])
         score = rmse(tail, sanitized(predicted, backward))
         if np.isfinite(score) and score < best_rmse:
             best, best_rmse = name, score
@@ -328,7 +328,7 @@ def ensemble_select_online(arrays: DataFrame, models: dict[str, dict], backward:
     names = list(models)
     start = F.col(current) if current else F.lit(initial_component(names))
     units = arrays.select(*keys, "values", start.alias("_current"))
-    key_list = list(keys)
+    key_list, fns = list(keys), model_functions()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.select(*key_list).schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,8 +336,8 @@ def ensemble_select_online(arrays: DataFrame, models: dict[str, dict], backward:
             out = []
             for row in pdf.to_dict("records"):
                 y = np.asarray(row["values"], dtype=float)
-                name, score = select_online(y, models, row["_current"], backward, step_s)
-                predicted, status = run_model(name, y, 1, step_s, models[name])
+                name, score = select_online(fns, y, models, row["_current"], backward, step_s)
+                predicted, status = run_model(fns, name, y, 1, step_s, models[name])
                 out.append([*[row[k] for k in key_list], row["_current"], name, score,
                             float(sanitized(predicted, 1)[0]), status])
             yield pd.DataFrame(out, columns=[*key_list, "previous_model", "model", "tail_rmse", "y_hat", "status"])
@@ -345,3 +345,33 @@ def ensemble_select_online(arrays: DataFrame, models: dict[str, dict], backward:
     return spread(units, key_list).mapInPandas(
         run, schema + ", previous_model string, model string, tail_rmse double, y_hat double, status string"
     )
+
+
+def timed_fits(arrays: DataFrame, models: dict[str, dict], step_s: int, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """Log of one val and one test evaluation per series and model: `(fit_s, predict_s, evaluations)`.
+
+    Models fit and predict in one call, so half of the elapsed time counts for each, as for ensembles.
+    """
+    import time
+
+    n_train, n_val = split_sizes()
+    units = arrays.withColumn("_m", F.explode(model_structs(models))).select(
+        *keys, "values", n_train.alias("n_train"), (n_train + n_val).alias("n_prior"), F.col("_m.model").alias("model"),
+        F.col("_m.params").alias("params"),
+    )
+    keep, fns = [*keys, "model"], model_functions()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.select(*keep).schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                y, params = np.asarray(row["values"], dtype=float), _params(row["params"])
+                for fit, end in ((row["n_train"], row["n_prior"]), (row["n_prior"], len(y))):
+                    start = time.perf_counter()
+                    run_model(fns, row["model"], y[:fit], int(end - fit), step_s, params)
+                    half = (time.perf_counter() - start) / 2.0
+                    out.append([*[row[k] for k in keep], half, half, 1])
+            yield pd.DataFrame(out, columns=[*keep, "fit_s", "predict_s", "evaluations"])
+
+    return spread(units, keep).mapInPandas(run, schema + ", fit_s double, predict_s double, evaluations bigint")

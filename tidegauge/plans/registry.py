@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge.catalog import Policy
 from tidegauge.operators.series import chrono_split, regular_series
-from tidegauge.session import use_utc
+from tidegauge.session import prepare
 from tidegauge.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None):
     def wrap(fn):
         @wraps(fn)
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            use_utc(spark)
+            prepare(spark)
             return fn(spark, folder)
 
         if name in QUERIES:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,12 +26,29 @@ def get_session(app: str = "tidegauge", master: str | None = None, shuffle_parti
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
-def use_utc(spark: SparkSession) -> None:
-    """All series timestamps are UTC; every entry point pins the session to it."""
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives executors this package, once per application: grouped functions import it there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="tidegauge-zip-"), "tidegauge")
+    sc.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(here), os.path.basename(here)))
+    _shipped.add(sc.applicationId)
+
+
+def prepare(spark: SparkSession) -> None:
+    """All series timestamps are UTC, and executors know the package; every entry point calls this."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
