@@ -145,77 +145,89 @@ def cooldown_accept(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence
     """Adds one boolean per clock: was the candidate accepted?
 
     `clocks` maps the new column to `(candidate column, forced column or None, cooldown in seconds)`.
-    `chunk_s` bounds the rows of one task; it must be at least the longest cooldown.
+    `chunk_s` bounds the rows that are handled as one unit; it must be at least the longest cooldown.
+    A unit is one row with arrays, so an Arrow batch carries many units.
     """
     if max(c for _, _, c in clocks.values()) > chunk_s:
         raise ValueError("chunk_s must be at least the longest cooldown")
     part = [*keys, CHUNK]
-    specs = [(name, cand, forced, cd * 1_000_000) for name, (cand, forced, cd) in clocks.items()]
-    rows = df.withColumn(CHUNK, time_chunk(ts, chunk_s)).withColumn("_us", F.unix_micros(ts))
-    flags = list(dict.fromkeys([c for _, cand, forced, _ in specs for c in (cand, forced) if c]))
-    any_candidate = F.lit(False)
-    for _, cand, _, _ in specs:
-        any_candidate = any_candidate | F.col(cand)
-    order_us = ["_us", *[c for c in order if c != ts]]
-
-    def picked(pdf: pd.DataFrame, cand: str, forced: str | None):
-        mask = pdf[cand].to_numpy(dtype=bool)
-        at = pdf["_us"].to_numpy(dtype=np.int64)[mask]
-        hard = pdf[forced].to_numpy(dtype=bool)[mask] if forced else np.zeros(mask.sum(), dtype=bool)
-        return mask, at, hard
-
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_us, kind="stable")
-        out = pdf[part].head(1).reset_index(drop=True)
-        for i, (_, cand, forced, cd) in enumerate(specs):
-            _, at, hard = picked(pdf, cand, forced)
-            entry, leave, first_forced = _entry_exit(at, hard, cd)
-            out[f"_in{i}"], out[f"_out{i}"], out[f"_hard{i}"] = [entry], [leave], first_forced
-        return out
-
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*part).schema)
-    summary_schema = key_schema + "".join(
-        f", _in{i} array<bigint>, _out{i} array<bigint>, _hard{i} bigint" for i in range(len(specs))
+    cooldowns = [c * 1_000_000 for _, _, c in clocks.values()]
+    n = len(cooldowns)
+    bits = F.lit(0)
+    for i, (candidate, forced, _) in enumerate(clocks.values()):
+        bits = bits + F.when(F.col(candidate), 1 << (2 * i)).otherwise(0)
+        if forced:
+            bits = bits + F.when(F.col(forced), 2 << (2 * i)).otherwise(0)
+    ties = [c for c in order if c != ts]
+    row = F.struct(F.unix_micros(ts).alias("_us"), *ties, bits.alias("_bits"), F.struct(*df.columns).alias("_row"))
+    packed = (
+        df.withColumn(CHUNK, time_chunk(ts, chunk_s)).groupBy(*part)
+        .agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+        .select(*part, "_rows", F.col("_rows._us").alias("_at"), F.col("_rows._bits").alias("_flags"))
     )
-    needed = rows.filter(any_candidate).select(*part, *order_us, *flags)
-    summary = needed.groupBy(*part).applyInPandas(summarize, summary_schema)
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(CHUNK)
-        out = pdf[part].reset_index(drop=True)
-        for i, (_, _, _, cd) in enumerate(specs):
-            last: int | None = None
-            before = []
-            for entry, leave, hard in zip(pdf[f"_in{i}"], pdf[f"_out{i}"], pdf[f"_hard{i}"]):
-                before.append(last)
-                if len(entry) == 0:
-                    continue
-                at = 0 if last is None else int(np.searchsorted(entry, last + cd, side="left"))
-                if hard >= 0:
-                    at = min(at, len(entry) - 1)
-                if at < len(entry):
-                    last = int(leave[at])
-            out[f"_last{i}"] = pd.array(before, dtype="Int64")
-        return out
-
-    carry_schema = key_schema + "".join(f", _last{i} bigint" for i in range(len(specs)))
-    carry = summary.groupBy(*keys).applyInPandas(compose, carry_schema)
-
-    out_columns = [*df.columns, *[s[0] for s in specs]]
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_us, kind="stable")
-        for i, (name, cand, forced, cd) in enumerate(specs):
-            mask, at, hard = picked(pdf, cand, forced)
-            last = pdf[f"_last{i}"].iloc[0]
-            done = np.zeros(len(pdf), dtype=bool)
-            done[np.flatnonzero(mask)[_walk(at, hard, None if pd.isna(last) else int(last), cd)]] = True
-            pdf[name] = done
-        return pdf[out_columns]
-
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    out_schema += "".join(f", {s[0]} boolean" for s in specs)
-    return rows.join(carry, part, "left").groupBy(*part).applyInPandas(replay, out_schema)
+
+    def clock(us, flags, i: int):
+        at, f = np.asarray(us, dtype=np.int64), np.asarray(flags)
+        mask = (f >> (2 * i)) & 1 == 1
+        return mask, at[mask], ((f >> (2 * i + 1)) & 1 == 1)[mask]
+
+    summary_type = "array<struct<enter:array<bigint>,leave:array<bigint>,hard:bigint>>"
+
+    @F.pandas_udf(summary_type)
+    def summarize(us: pd.Series, flags: pd.Series) -> pd.Series:
+        out = []
+        for u, f in zip(us, flags):
+            cells = [_entry_exit(*clock(u, f, i)[1:], cd) for i, cd in enumerate(cooldowns)]
+            out.append([{"enter": a, "leave": b, "hard": c} for a, b, c in cells])
+        return pd.Series(out)
+
+    @F.pandas_udf("array<struct<chunk:bigint,last:array<bigint>>>")
+    def compose(chunks: pd.Series) -> pd.Series:
+        out = []
+        for items in chunks:
+            last: list = [None] * n
+            carried = []
+            for item in items:
+                carried.append({"chunk": int(item["chunk"]), "last": list(last)})
+                for i, cell in enumerate(item["cells"]):
+                    last[i] = _through(cell["enter"], cell["leave"], int(cell["hard"]), last[i], cooldowns[i])
+            out.append(carried)
+        return pd.Series(out)
+
+    @F.pandas_udf("array<int>")
+    def replay(us: pd.Series, flags: pd.Series, last: pd.Series) -> pd.Series:
+        out = []
+        for u, f, before in zip(us, flags, last):
+            done = np.zeros(len(u), dtype=np.int32)
+            for i, cd in enumerate(cooldowns):
+                mask, at, hard = clock(u, f, i)
+                start = None if pd.isna(before[i]) else int(before[i])
+                done[np.flatnonzero(mask)[_walk(at, hard, start, cd)]] |= 1 << i
+            out.append(done)
+        return pd.Series(out)
+
+    # Only the step functions of the chunks of a key meet in one place: a few numbers per chunk.
+    cells = F.struct(F.col(CHUNK).alias("chunk"), summarize("_at", "_flags").alias("cells"))
+    per_key = packed.select(*keys, cells.alias("_s")).groupBy(*keys).agg(
+        F.array_sort(F.collect_list("_s"), lambda a, b: (a["chunk"] - b["chunk"]).cast("int")).alias("_s")
+    )
+    carry = per_key.select(*keys, F.explode(compose("_s")).alias("_c")).select(
+        *keys, F.col("_c.chunk").alias(CHUNK), F.col("_c.last").alias("_last")
+    )
+    done = packed.join(carry, part).withColumn("_done", replay("_at", "_flags", "_last"))
+    rows = done.select(F.explode(F.arrays_zip(F.col("_rows._row").alias("_row"), "_done")).alias("_x"))
+    accepted = [F.col("_x._done").bitwiseAND(1 << i).alias(name) for i, name in enumerate(clocks)]
+    return rows.select("_x._row.*", *[(a > 0).alias(name) for a, name in zip(accepted, clocks)])
+
+
+def _through(enter, leave, first_forced: int, last: int | None, cooldown_us: int) -> int | None:
+    """Time of the last accepted candidate after a chunk, given the one before it."""
+    if len(enter) == 0:
+        return last
+    at = 0 if last is None else int(np.searchsorted(enter, last + cooldown_us, side="left"))
+    if first_forced >= 0:
+        at = min(at, len(enter) - 1)
+    return int(leave[at]) if at < len(enter) else last
 
 
 def with_series_start(df: DataFrame, keys: Sequence[str], ts: str, name: str, chunk_s: int = DAY_S) -> DataFrame:
