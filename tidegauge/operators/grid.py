@@ -17,7 +17,8 @@ def combos(df: DataFrame, models: str, min_size: int = 2, name: str = "component
 
     The subsets of k models are the output itself (2^k); each is a bit mask, so there is no join.
     """
-    masks = F.sequence(F.lit(1).cast("bigint"), F.shiftleft(F.lit(1).cast("bigint"), F.size(models)) - 1)
+    one = F.lit(1).cast("bigint")
+    masks = F.sequence(one, F.call_function("shiftleft", one, F.size(models)) - 1)
     picked = F.filter(
         F.transform(models, lambda m, i: F.when(_bit(F.col("_mask"), i), m)), lambda m: m.isNotNull()
     )

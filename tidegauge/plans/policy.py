@@ -62,7 +62,11 @@ def scale_event(spark, folder):
                        r6(ops.pass_through(predicted, "actual_cpu_cores")).alias("used_cpu"))
 
 
-_CLOCKS = WANT + """,
+def clocks_sql(cycles_sql: str, row_id: str) -> str:
+    """Scaling actions as a recursive walk over the cycles `cyc`, carrying the three clocks."""
+    want = WANT.split("want AS (")[1]
+    return f"""WITH RECURSIVE {cycles_sql},
+want AS ({want},
 num AS (
   SELECT *, row_number() OVER w AS rn, epoch_us(timestamp) AS us, min(epoch_us(timestamp)) OVER (PARTITION BY namespace)
     AS start_us, scaling_mode IN ('horizontal', 'combined') AS h, scaling_mode IN ('vertical', 'combined') AS v
@@ -73,28 +77,25 @@ flag AS (
     us - start_us < 7200000000 AS grace
   FROM num),
 clock AS (
-  SELECT namespace, 0::BIGINT AS rn, NULL::BIGINT AS event_id, false AS ok_up, false AS ok_down, false AS ok_v,
+  SELECT namespace, 0::BIGINT AS rn, false AS ok_up, false AS ok_down, false AS ok_v,
     NULL::BIGINT AS t_up, NULL::BIGINT AS t_down, NULL::BIGINT AS t_v
   FROM (SELECT DISTINCT namespace FROM num)
   UNION ALL
-  SELECT namespace, rn, event_id, ok_up, ok_down, ok_v, CASE WHEN ok_up THEN us ELSE t_up END,
+  SELECT namespace, rn, ok_up, ok_down, ok_v, CASE WHEN ok_up THEN us ELSE t_up END,
     CASE WHEN ok_down THEN us ELSE t_down END, CASE WHEN ok_v THEN us ELSE t_v END
   FROM (
-    SELECT f.namespace, f.rn, f.event_id, f.us, c.t_up, c.t_down, c.t_v,
+    SELECT f.namespace, f.rn, f.us, c.t_up, c.t_down, c.t_v,
       f.up AND (c.t_up IS NULL OR f.us - c.t_up >= 3600000000) AS ok_up,
       f.down AND (c.t_down IS NULL OR f.us - c.t_down >= 10800000000) AS ok_down,
       (f.grow AND f.restarted) OR ((f.grow OR (f.shrink AND NOT f.grace))
         AND (c.t_v IS NULL OR f.us - c.t_v >= 7200000000)) AS ok_v
-    FROM clock c JOIN flag f ON f.namespace = c.namespace AND f.rn = c.rn + 1))"""
-
-
-@query("scale_actions", f"""WITH RECURSIVE {_CLOCKS},
+    FROM clock c JOIN flag f ON f.namespace = c.namespace AND f.rn = c.rn + 1)),
 act AS (
   SELECT f.*, ok_up, ok_down, ok_v,
     greatest(512, round_even(greatest(want_memory_mb, current_memory_mb - current_memory_mb // 2) / 256::DOUBLE, 0) * 256)::INTEGER
       AS bounded
   FROM flag f JOIN clock c ON c.namespace = f.namespace AND c.rn = f.rn)
-SELECT namespace, event_id,
+SELECT namespace, {row_id},
   CASE WHEN ok_up OR ok_down THEN want_replicas ELSE current_replicas END AS desired_replicas,
   CASE WHEN ok_v AND grow THEN want_memory_mb WHEN ok_v THEN bounded ELSE current_memory_mb END AS desired_memory_mb,
   CASE WHEN ok_up THEN 'scale_up' WHEN ok_down THEN 'scale_down' WHEN up OR down THEN 'cooldown' ELSE 'no_change' END
@@ -103,7 +104,10 @@ SELECT namespace, event_id,
     ELSE 'no_change' END AS action_vertical,
   CASE WHEN (CASE WHEN ok_v AND grow THEN want_memory_mb WHEN ok_v THEN bounded ELSE current_memory_mb END)
     <> current_memory_mb THEN current_replicas ELSE 0 END AS pod_restart_count
-FROM act""")
+FROM act"""
+
+
+@query("scale_actions", clocks_sql(CYCLES, "event_id"))
 def scale_actions(spark, folder):
     rows = cycles(spark, folder).select(
         "namespace", "event_id", "timestamp", "scaling_mode", "current_replicas", "current_memory_mb",
