@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.catalog import Policy
-from tidegauge.operators.ordered import time_chunk, with_neighbour
-from tidegauge.operators.series import DAY_S, seasonal_difference
+from tidegauge.operators.ordered import with_neighbour_within
+from tidegauge.operators.series import seasonal_difference
 
 EVENT_ID = ("namespace",)
 
@@ -37,20 +37,19 @@ def naive_scale(train: DataFrame, lag: int, keys: Sequence[str] = ("series_id",)
     No row for a series that is not longer than the lag, null where the naive error is 0.
     """
     diff = seasonal_difference(train, lag, keys)
-    d = F.col("diff")
-    scaled = diff.filter(d.isNotNull()).groupBy(*keys).agg(
-        F.avg(F.abs(d)).alias("naive_mae"), F.sqrt(F.avg(d * d)).alias("naive_rmse")
-    )
-    positive = [F.when(F.col(c) > 0, F.col(c)).alias(c) for c in ("naive_mae", "naive_rmse")]
-    return scaled.select(*keys, *positive)
+    return diff.filter(F.col("diff").isNotNull()).groupBy(*keys).agg(*_naive(F.lit(True), ""))
 
 
-def forecast_metrics(actual: DataFrame, forecast: DataFrame, train: DataFrame, lag: int,
-                     keys: Sequence[str] = ("series_id",), by: Sequence[str] = ("model", "split")) -> DataFrame:
-    """MAE, RMSE, SMAPE, MASE, RMSSE, R2, NMAE, NRMSE and STD_ERRORS per series, model and split."""
+def _naive(part: Column, suffix: str) -> list[Column]:
+    d = F.when(part, F.col("diff"))
+    mae, mse = F.avg(F.abs(d)), F.avg(d * d)
+    return [F.when(mae > 0, mae).alias(f"naive_mae{suffix}"), F.when(mse > 0, F.sqrt(mse)).alias(f"naive_rmse{suffix}")]
+
+
+def _score_sums(errors: DataFrame, by: Sequence[str]) -> DataFrame:
     y, p, e = F.col("y"), F.col("y_hat"), F.col("error")
     half = (F.abs(y) + F.abs(p)) / 2.0
-    sums = forecast_errors(actual, forecast, keys).groupBy(*keys, *by).agg(
+    return errors.groupBy(*by).agg(
         F.count(e).alias("n"),
         F.avg(F.abs(e)).alias("MAE"),
         F.sqrt(F.avg(e * e)).alias("RMSE"),
@@ -59,16 +58,40 @@ def forecast_metrics(actual: DataFrame, forecast: DataFrame, train: DataFrame, l
         F.avg(y).alias("_mean"),
         F.stddev_pop(e).alias("STD_ERRORS"),
     )
-    scale = naive_scale(train, lag, keys)
+
+
+def _scores(sums: DataFrame, by: Sequence[str], naive_mae: Column, naive_rmse: Column) -> DataFrame:
     mean = F.when(F.col("_mean") > 0, F.col("_mean"))
-    return sums.join(scale, list(keys), "left").select(
-        *keys, *by, "n", "MAE", "RMSE", "SMAPE",
-        (F.col("MAE") / F.col("naive_mae")).alias("MASE"),
-        (F.col("RMSE") / F.col("naive_rmse")).alias("RMSSE"),
-        "R2", (F.col("MAE") / mean).alias("NMAE"), (F.col("RMSE") / mean).alias("NRMSE"), "STD_ERRORS",
+    return sums.select(
+        *by, "n", "MAE", "RMSE", "SMAPE", (F.col("MAE") / naive_mae).alias("MASE"),
+        (F.col("RMSE") / naive_rmse).alias("RMSSE"), "R2", (F.col("MAE") / mean).alias("NMAE"),
+        (F.col("RMSE") / mean).alias("NRMSE"), "STD_ERRORS",
     )
 
 
+def forecast_metrics(actual: DataFrame, forecast: DataFrame, train: DataFrame, lag: int,
+                     keys: Sequence[str] = ("series_id",), by: Sequence[str] = ("model", "split")) -> DataFrame:
+    """MAE, RMSE, SMAPE, MASE, RMSSE, R2, NMAE, NRMSE and STD_ERRORS per series, model and split."""
+    groups = [*keys, *by]
+    sums = _score_sums(forecast_errors(actual, forecast, keys), groups)
+    scaled = sums.join(naive_scale(train, lag, keys), list(keys), "left")
+    return _scores(scaled, groups, F.col("naive_mae"), F.col("naive_rmse"))
+
+
+def evaluate(split_df: DataFrame, forecast: DataFrame, lag: int, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """Metrics of both hold-out parts at once: val is scaled by train, test by train and val.
+
+    The seasonal differences are taken once; both scales are aggregates over prefixes of them.
+    """
+    groups = [*keys, "model", "split"]
+    sums = _score_sums(forecast_errors(split_df, forecast, keys), groups)
+    diff = seasonal_difference(split_df.filter(F.col("split") != "test"), lag, keys)
+    scale = diff.groupBy(*keys).agg(*_naive(F.col("split") == "train", "_val"), *_naive(F.lit(True), "_test"))
+    scaled = sums.join(scale, list(keys), "left")
+    pick = lambda c: F.when(F.col("split") == "val", F.col(f"{c}_val")).otherwise(F.col(f"{c}_test"))
+    return _scores(scaled, groups, pick("naive_mae"), pick("naive_rmse"))
+
+
 def _online(actual: str, predicted: str, name: str) -> list[Column]:
     a, e = F.col(actual), F.col(predicted) - F.col(actual)
     few = F.count(e) < 2
@@ -172,20 +195,32 @@ def _positive(col: str, what: str) -> Column:
 TIMING_COLUMNS = [f"{what}_time_{m}_seconds" for m in ("cpu", "ram") for what in ("fit", "predict")]
 
 
-def oscillations(events: DataFrame, action: str, cooldown_s: int, keys: Sequence[str] = EVENT_ID,
-                 chunk_s: int = DAY_S, name: str = "oscillation_count", tie: Sequence[str] = ()) -> DataFrame:
-    """Real actions that differ from the one before and follow it within the cooldown."""
-    real = events.filter(F.col(action).isin("scale_up", "scale_down")).select(
-        *keys, "timestamp", *tie, F.col(action).alias("action")
+def oscillations(events: DataFrame, cooldowns: dict[str, int], keys: Sequence[str] = EVENT_ID,
+                 chunk_s: int = 3600, tie: Sequence[str] = ()) -> DataFrame:
+    """Real actions that differ from the one before and follow it within the cooldown, per dimension.
+
+    `cooldowns` maps a dimension (`action_<dimension>`) to seconds. All dimensions share one scan and one
+    shuffle; an action before the cooldown cannot count, so rows near chunk borders are copied.
+    """
+    actions = F.array(*[
+        F.struct(F.lit(d).alias("dimension"), F.lit(c * 1_000_000).cast("bigint").alias("cooldown_us"), F.col(f"action_{d}").alias("action"))
+        for d, c in cooldowns.items()
+    ])
+    real = (
+        events.withColumn("_a", F.explode(actions)).filter(F.col("_a.action").isin("scale_up", "scale_down"))
+        .select(*keys, "timestamp", *tie, "_a.dimension", "_a.cooldown_us", "_a.action")
     )
-    paired = with_neighbour(real, keys, ["timestamp", *tie], ["action", "timestamp"], time_chunk("timestamp", chunk_s))
+    paired = with_neighbour_within(real, [*keys, "dimension"], ["timestamp", *tie], ["action", "timestamp"],
+                                   max(cooldowns.values()), chunk_s)
     gap_us = F.unix_micros("timestamp") - F.unix_micros("prev_timestamp")
-    hit = (F.col("action") != F.col("prev_action")) & (gap_us <= cooldown_s * 1_000_000)
-    return paired.groupBy(*keys).agg(F.count_if(hit).alias(name))
+    hit = (F.col("action") != F.col("prev_action")) & (gap_us <= F.col("cooldown_us"))
+    return paired.groupBy(*keys).agg(*[
+        F.count_if(hit & (F.col("dimension") == d)).alias(f"oscillation_{d}_count") for d in cooldowns
+    ])
 
 
 def ops_summary(events: DataFrame, policy: Policy, keys: Sequence[str] = EVENT_ID,
-                ram_mode: str = "limit_vs_total", chunk_s: int = DAY_S, tie: Sequence[str] = ()) -> DataFrame:
+                ram_mode: str = "limit_vs_total", chunk_s: int = 3600, tie: Sequence[str] = ()) -> DataFrame:
     """The run summary: accuracy, SLA, waste, oscillation, action counts, averages and timings."""
     count = lambda c, v: F.count_if(F.col(c) == v)
     avg2 = lambda c: F.rint(F.avg(c) * 100.0) / 100.0
@@ -209,11 +244,10 @@ def ops_summary(events: DataFrame, policy: Policy, keys: Sequence[str] = EVENT_I
         F.max("refit_skipped").cast("bigint").alias("refit_skip_count"),
         *[_positive(c, what) for c in TIMING_COLUMNS for what in ("avg", "max")],
     )
-    h = oscillations(events, "action_horizontal", policy.down_cooldown_s, keys, chunk_s,
-                     "oscillation_horizontal_count", tie)
-    v = oscillations(events, "action_vertical", policy.vertical_cooldown_s, keys, chunk_s,
-                     "oscillation_vertical_count", tie)
-    out = main.join(h, list(keys), "left").join(v, list(keys), "left")
+    swings = oscillations(
+        events, {"horizontal": policy.down_cooldown_s, "vertical": policy.vertical_cooldown_s}, keys, chunk_s, tie
+    )
+    out = main.join(swings, list(keys), "left")
     for m in ("cpu", "ram"):
         out = out.withColumn(f"overprovision_{m}_minutes", F.col(f"_op_{m}") / 100.0).drop(f"_op_{m}")
     return out.na.fill(0, ["oscillation_horizontal_count", "oscillation_vertical_count"])

@@ -308,19 +308,19 @@ def forecast_next(arrays: DataFrame, model: str, params: dict, step_s: int, keys
 # ---- models that are plain DataFrame work -----------------------------------------------------------
 
 
-def snaive_forecast(split_df: DataFrame, lag: int, keys: Sequence[str] = ("series_id",), fit: str = "train",
-                    predict: str = "val") -> DataFrame:
-    """Seasonal-naive forecast as an equi-join of each step with the last season before it."""
-    prior = {"val": F.col("n_train"), "test": F.col("n_train") + F.col("n_val")}[predict]
-    h = F.col("step_idx") - prior
-    source = prior - F.lit(lag) + (h % lag)
-    target = split_df.filter(F.col("split") == predict).select(*keys, "step_idx", source.alias("_src"))
-    splits = ["train"] if predict == "val" else ["train", "val"]
-    known = split_df.filter(F.col("split").isin(splits)).select(
-        *keys, F.col("step_idx").alias("_src"), F.col("y").alias("y_hat")
-    )
+def snaive_forecast(split_df: DataFrame, lag: int, keys: Sequence[str] = ("series_id",),
+                    predict: Sequence[str] = ("val", "test")) -> DataFrame:
+    """Seasonal-naive forecast of one or both hold-out parts as one equi-join on (series, step).
+
+    Each step looks at the same phase of the last season before its part: train for val, train and val
+    for test.
+    """
+    prior = F.col("n_train") + F.when(F.col("split") == "test", F.col("n_val")).otherwise(0)
+    source = prior - F.lit(lag) + ((F.col("step_idx") - prior) % lag)
+    target = split_df.filter(F.col("split").isin(list(predict))).select(*keys, "split", "step_idx", source.alias("_src"))
+    known = split_df.select(*keys, F.col("step_idx").alias("_src"), F.col("y").alias("y_hat"))
     return target.join(known, [*keys, "_src"]).select(
-        *keys, F.lit("SeasonalNaive").alias("model"), F.lit(predict).alias("split"), "step_idx", "y_hat"
+        *keys, F.lit("SeasonalNaive").alias("model"), "split", "step_idx", "y_hat"
     )
 
 

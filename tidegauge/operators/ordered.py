@@ -6,6 +6,9 @@ step range, value range). The ordered work runs per (key, chunk); what a chunk n
 before or after it is one small edge row per chunk, combined map-side, and comes back by an equi-join
 on (key, chunk), the same partitioning the window uses.
 
+Where only neighbours within a known distance matter, the rows near a chunk border are copied to the
+next chunk instead (`with_halo`): one scan, one shuffle, no edge rows.
+
 Keys and order columns must not be null.
 """
 
@@ -18,23 +21,44 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 CHUNK = "_chunk"
 
 
+def _never_null(chunk: Column) -> Column:
+    """Keeps inner joins on the chunk from adding a null filter below one branch only.
+
+    Such a filter makes two equal scans differ, and Spark would run both instead of reusing one.
+    """
+    return F.coalesce(chunk, F.lit(0).cast("bigint"))
+
+
 def time_chunk(ts: str, chunk_s: int) -> Column:
-    return F.floor(F.unix_seconds(F.col(ts)) / chunk_s)
+    return _never_null(F.floor(F.unix_seconds(F.col(ts)) / chunk_s))
 
 
 def step_chunk(step: str, rows: int) -> Column:
-    return F.floor(F.col(step) / rows)
+    return _never_null(F.floor(F.col(step) / rows))
 
 
 def magnitude_chunk(value: str, per_e: int = 1000) -> Column:
     """Order-keeping buckets of a positive double, each 0.1 % wide by default."""
-    return F.floor(F.log(F.col(value)) * per_e)
+    return _never_null(F.floor(F.log(F.col(value)) * per_e))
 
 
 def _parts(keys: Sequence[str]) -> list[str]:
     return [*keys, CHUNK]
 
 
+def chunk_seconds(df: DataFrame, keys: Sequence[str], ts: str, rows_per_chunk: int = 1_000_000,
+                  coarsest_s: int = 86400, finest_s: int = 1) -> int:
+    """Chunk length for which the densest chunk of any key has about `rows_per_chunk` rows.
+
+    One map-side combined count per (key, minute) and a single number to the driver; the key and the
+    time column are all it reads. Pass the result as `chunk_s` where the density is not known.
+    """
+    minute = F.floor(F.unix_seconds(F.col(ts)) / 60)
+    peak = df.groupBy(*keys, minute.alias("_m")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    fit = int(60 * rows_per_chunk / max(peak or 1, 1))
+    return max(finest_s, min(coarsest_s, fit))
+
+
 def with_neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str], chunk: Column,
                    forward: bool = False, prefix: str | None = None) -> DataFrame:
     """Adds `prev_<col>` (or `next_<col>`) of the row before (after) in the order within the key."""
@@ -47,7 +71,7 @@ def with_neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], col
     edges = rows.groupBy(*part).agg(edge(row).alias("_edge"))
     carry = edges.select(*part, shift("_edge").over(Window.partitionBy(*keys).orderBy(CHUNK)).alias("_carry"))
     within = Window.partitionBy(*part).orderBy(*order)
-    out = rows.withColumn("_near", shift(row).over(within)).join(carry, part, "left")
+    out = rows.withColumn("_near", shift(row).over(within)).join(carry, part)
     near = F.coalesce("_near", "_carry")
     return out.select(*df.columns, *[near[c].alias(f"{prefix}{c}") for c in cols])
 
@@ -104,19 +128,38 @@ def ends(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, chunk
     return kept.select(*df.columns, *extra)
 
 
-def with_halo(df: DataFrame, position: Column, size, reach) -> DataFrame:
-    """Adds the chunk of `position` (chunks of `size`) and copies the rows that the next chunk looks back to.
+def with_halo(df: DataFrame, position: Column, size, reach, forward: bool = False) -> DataFrame:
+    """Adds the chunk of `position` (chunks of `size`) and copies the rows that a neighbour chunk looks at.
 
-    `_halo` marks the copies, which the caller drops after its window. `reach` must not exceed `size`.
+    Rows look back by `reach` (or ahead, with `forward`), which must not exceed `size`. `_halo` marks the
+    copies, which the caller drops after its window.
     """
     if reach > size:
-        raise ValueError("a chunk must be at least as long as the look-back")
+        raise ValueError("a chunk must be at least as long as the reach")
     chunk = F.floor(position / size)
-    left = (chunk + 1) * size - position
-    homes = F.when(left <= reach, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    if forward:
+        near, neighbour = position - chunk * size <= reach, chunk - 1
+    else:
+        near, neighbour = (chunk + 1) * size - position <= reach, chunk + 1
+    homes = F.when(near, F.array(chunk, neighbour)).otherwise(F.array(chunk))
     return df.withColumn(CHUNK, F.explode(homes)).withColumn("_halo", F.col(CHUNK) != chunk)
 
 
+def with_neighbour_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
+                          reach_s: int, chunk_s: int, forward: bool = False) -> DataFrame:
+    """Like `with_neighbour` by time, but null when the neighbour is more than `reach_s` seconds away."""
+    ts, us = order[0], F.unix_micros(F.col(order[0]))
+    prefix, shift = ("next_", F.lead) if forward else ("prev_", F.lag)
+    fields = list(dict.fromkeys([ts, *cols]))
+    within = Window.partitionBy(*_parts(keys)).orderBy(*order)
+    size = max(chunk_s, reach_s) * 1_000_000
+    rows = with_halo(df, us, size, reach_s * 1_000_000, forward).withColumn(
+        "_near", shift(F.struct(*fields)).over(within)
+    ).filter(~F.col("_halo"))
+    close = F.abs(us - F.unix_micros(F.col("_near")[ts])) <= reach_s * 1_000_000
+    return rows.select(*df.columns, *[F.when(close, F.col("_near")[c]).alias(f"{prefix}{c}") for c in cols])
+
+
 def lag_on_grid(df: DataFrame, keys: Sequence[str], step: str, value: str, lag: int, name: str,
                 chunk_rows: int = 8192) -> DataFrame:
     """`value` of `lag` steps earlier on a complete grid: one shuffle, no key in one task."""

@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.catalog import Policy
 from tidegauge.operators.ordered import CHUNK, time_chunk
-from tidegauge.operators.series import DAY_S
 
 
 def _c(col) -> Column:
@@ -141,43 +140,53 @@ def _walk(ts: np.ndarray, forced: np.ndarray, last_us: int | None, cooldown_us:
 
 
 def cooldown_accept(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], clocks: dict,
-                    chunk_s: int = 3600) -> DataFrame:
+                    chunk_s: int = 3600, grace_s: int = 0) -> DataFrame:
     """Adds one boolean per clock: was the candidate accepted?
 
-    `clocks` maps the new column to `(candidate column, forced column or None, cooldown in seconds)`.
+    `clocks` maps the new column to `(candidate column, forced column or None, cooldown in seconds)`, and
+    optionally a fourth column that marks candidates which do not count within `grace_s` of the first
+    row of the key.
     `chunk_s` bounds the rows that are handled as one unit; it must be at least the longest cooldown.
     A unit is one row with arrays, so an Arrow batch carries many units.
     """
-    if max(c for _, _, c in clocks.values()) > chunk_s:
-        raise ValueError("chunk_s must be at least the longest cooldown")
     part = [*keys, CHUNK]
-    cooldowns = [c * 1_000_000 for _, _, c in clocks.values()]
-    n = len(cooldowns)
+    cooldowns = [spec[2] * 1_000_000 for spec in clocks.values()]
+    if max(cooldowns) > chunk_s * 1_000_000:
+        raise ValueError("chunk_s must be at least the longest cooldown")
+    n, grace_us = len(cooldowns), grace_s * 1_000_000
     bits = F.lit(0)
-    for i, (candidate, forced, _) in enumerate(clocks.values()):
-        bits = bits + F.when(F.col(candidate), 1 << (2 * i)).otherwise(0)
-        if forced:
-            bits = bits + F.when(F.col(forced), 2 << (2 * i)).otherwise(0)
+    for i, (candidate, forced, _, *early) in enumerate(clocks.values()):
+        for bit, name in ((1, candidate), (2, forced), (4, early[0] if early else None)):
+            if name:
+                bits = bits + F.when(F.col(name), bit << (3 * i)).otherwise(0)
     ties = [c for c in order if c != ts]
     row = F.struct(F.unix_micros(ts).alias("_us"), *ties, bits.alias("_bits"), F.struct(*df.columns).alias("_row"))
+    # The first row of a key matters in the chunks its grace period reaches, nowhere else.
+    starts = df.groupBy(*keys).agg(F.min(F.unix_micros(ts)).alias("_start")).withColumn(CHUNK, F.explode(F.sequence(
+        F.floor(F.col("_start") / (chunk_s * 1_000_000)), F.floor((F.col("_start") + grace_us) / (chunk_s * 1_000_000))
+    )))
     packed = (
         df.withColumn(CHUNK, time_chunk(ts, chunk_s)).groupBy(*part)
         .agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-        .select(*part, "_rows", F.col("_rows._us").alias("_at"), F.col("_rows._bits").alias("_flags"))
+        .join(starts, part, "left")
+        .select(*part, "_rows", F.col("_rows._us").alias("_at"), F.col("_rows._bits").alias("_flags"),
+                F.coalesce("_start", F.lit(-1).cast("bigint")).alias("_start"))
     )
 
-    def clock(us, flags, i: int):
+    def clock(us, flags, start, i: int):
         at, f = np.asarray(us, dtype=np.int64), np.asarray(flags)
-        mask = (f >> (2 * i)) & 1 == 1
-        return mask, at[mask], ((f >> (2 * i + 1)) & 1 == 1)[mask]
+        mask = (f >> (3 * i)) & 1 == 1
+        if start >= 0:
+            mask = mask & ~(((f >> (3 * i)) & 4 == 4) & (at - start < grace_us))
+        return mask, at[mask], ((f >> (3 * i)) & 2 == 2)[mask]
 
     summary_type = "array<struct<enter:array<bigint>,leave:array<bigint>,hard:bigint>>"
 
     @F.pandas_udf(summary_type)
-    def summarize(us: pd.Series, flags: pd.Series) -> pd.Series:
+    def summarize(us: pd.Series, flags: pd.Series, start: pd.Series) -> pd.Series:
         out = []
-        for u, f in zip(us, flags):
-            cells = [_entry_exit(*clock(u, f, i)[1:], cd) for i, cd in enumerate(cooldowns)]
+        for u, f, s in zip(us, flags, start):
+            cells = [_entry_exit(*clock(u, f, s, i)[1:], cd) for i, cd in enumerate(cooldowns)]
             out.append([{"enter": a, "leave": b, "hard": c} for a, b, c in cells])
         return pd.Series(out)
 
@@ -195,26 +204,26 @@ def cooldown_accept(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence
         return pd.Series(out)
 
     @F.pandas_udf("array<int>")
-    def replay(us: pd.Series, flags: pd.Series, last: pd.Series) -> pd.Series:
+    def replay(us: pd.Series, flags: pd.Series, start: pd.Series, last: pd.Series) -> pd.Series:
         out = []
-        for u, f, before in zip(us, flags, last):
+        for u, f, s, before in zip(us, flags, start, last):
             done = np.zeros(len(u), dtype=np.int32)
             for i, cd in enumerate(cooldowns):
-                mask, at, hard = clock(u, f, i)
-                start = None if pd.isna(before[i]) else int(before[i])
-                done[np.flatnonzero(mask)[_walk(at, hard, start, cd)]] |= 1 << i
+                mask, at, hard = clock(u, f, s, i)
+                since = None if pd.isna(before[i]) else int(before[i])
+                done[np.flatnonzero(mask)[_walk(at, hard, since, cd)]] |= 1 << i
             out.append(done)
         return pd.Series(out)
 
     # Only the step functions of the chunks of a key meet in one place: a few numbers per chunk.
-    cells = F.struct(F.col(CHUNK).alias("chunk"), summarize("_at", "_flags").alias("cells"))
+    cells = F.struct(F.col(CHUNK).alias("chunk"), summarize("_at", "_flags", "_start").alias("cells"))
     per_key = packed.select(*keys, cells.alias("_s")).groupBy(*keys).agg(
         F.array_sort(F.collect_list("_s"), lambda a, b: (a["chunk"] - b["chunk"]).cast("int")).alias("_s")
     )
     carry = per_key.select(*keys, F.explode(compose("_s")).alias("_c")).select(
         *keys, F.col("_c.chunk").alias(CHUNK), F.col("_c.last").alias("_last")
     )
-    done = packed.join(carry, part).withColumn("_done", replay("_at", "_flags", "_last"))
+    done = packed.join(carry, part).withColumn("_done", replay("_at", "_flags", "_start", "_last"))
     rows = done.select(F.explode(F.arrays_zip(F.col("_rows._row").alias("_row"), "_done")).alias("_x"))
     accepted = [F.col("_x._done").bitwiseAND(1 << i).alias(name) for i, name in enumerate(clocks)]
     return rows.select("_x._row.*", *[(a > 0).alias(name) for a, name in zip(accepted, clocks)])
@@ -230,16 +239,6 @@ def _through(enter, leave, first_forced: int, last: int | None, cooldown_us: int
     return int(leave[at]) if at < len(enter) else last
 
 
-def with_series_start(df: DataFrame, keys: Sequence[str], ts: str, name: str, chunk_s: int = DAY_S) -> DataFrame:
-    """First timestamp of the key on every row, joined by (key, chunk)."""
-    part = [*keys, CHUNK]
-    rows = df.withColumn(CHUNK, time_chunk(ts, chunk_s))
-    starts = rows.groupBy(*part).agg(F.min(ts).alias("_lo")).select(
-        *part, F.min("_lo").over(Window.partitionBy(*keys)).alias(name)
-    )
-    return rows.join(starts, part).select(*df.columns, name)
-
-
 def scale_actions(events: DataFrame, policy: Policy, keys: Sequence[str] = ("namespace",),
                   order: Sequence[str] = ("timestamp",), restarted: str | None = None,
                   mode="scaling_mode", chunk_s: int = 3600) -> DataFrame:
@@ -253,8 +252,6 @@ def scale_actions(events: DataFrame, policy: Policy, keys: Sequence[str] = ("nam
     v = _c(mode).isin("vertical", "combined")
     rows = recommend(events, policy)
     columns = rows.columns
-    rows = with_series_start(rows, keys, ts, "_start")
-    grace = F.unix_micros(ts) - F.unix_micros("_start") < policy.startup_grace_s * 1_000_000
     more_r = h & (F.col("want_replicas") > F.col("current_replicas"))
     less_r = h & (F.col("want_replicas") < F.col("current_replicas"))
     more_m = v & (F.col("want_memory_mb") > F.col("current_memory_mb"))
@@ -262,16 +259,17 @@ def scale_actions(events: DataFrame, policy: Policy, keys: Sequence[str] = ("nam
     forced = F.col(restarted) & more_m if restarted else F.lit(False)
     rows = rows.select(
         *columns, more_r.alias("_up"), less_r.alias("_down"), more_m.alias("_grow"), less_m.alias("_shrink"),
-        (more_m | (less_m & ~grace)).alias("_vertical"), forced.alias("_forced"),
+        (more_m | less_m).alias("_vertical"), forced.alias("_forced"),
     )
     done = cooldown_accept(
         rows, keys, ts, order,
         {
             "_ok_up": ("_up", None, policy.up_cooldown_s),
             "_ok_down": ("_down", None, policy.down_cooldown_s),
-            "_ok_v": ("_vertical", "_forced", policy.vertical_cooldown_s),
+            "_ok_v": ("_vertical", "_forced", policy.vertical_cooldown_s, "_shrink"),
         },
         max(chunk_s, policy.up_cooldown_s, policy.down_cooldown_s, policy.vertical_cooldown_s),
+        policy.startup_grace_s,
     )
     return finish_actions(done, policy, columns)
 

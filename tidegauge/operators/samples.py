@@ -11,10 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.functions import BYTES_PER_GB
-from tidegauge.operators.ordered import CHUNK, time_chunk, with_halo, with_neighbour
-from tidegauge.operators.series import DAY_S
+from tidegauge.operators.ordered import CHUNK, time_chunk, with_halo, with_neighbour, with_neighbour_within
 
 MICRO = 1_000_000
+HOUR_S = 3600
 
 
 def keep_label(df: DataFrame, label: str, pattern: str, labels: str = "labels", add: dict | None = None) -> DataFrame:
@@ -27,34 +27,43 @@ def keep_label(df: DataFrame, label: str, pattern: str, labels: str = "labels",
     return out
 
 
-def increases(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts",), value: str = "value",
-              chunk_s: int = DAY_S) -> DataFrame:
-    """Growth since the previous sample of the source. A smaller value is a reset: it counts from 0."""
-    paired = with_neighbour(df, keys, order, ["ts", value], time_chunk("ts", chunk_s))
-    v, p = F.col(value), F.col(f"prev_{value}")
-    return paired.withColumn("increase", F.when(p.isNull(), None).when(v >= p, v - p).otherwise(v))
+def _growth(value: Column, before: Column) -> Column:
+    """Growth of a counter; a smaller value is a reset and counts from 0. Null without a sample before."""
+    return F.when(before.isNull(), None).when(value >= before, value - before).otherwise(value)
+
+
+def increases(df: DataFrame, keys: Sequence[str], window_s: int, order: Sequence[str] = ("ts",),
+              value: str = "value", chunk_s: int = HOUR_S) -> DataFrame:
+    """Reset-aware growth since the previous sample of the source.
+
+    Null when there is no previous sample within the window: such a pair is in no window anyway.
+    """
+    paired = with_neighbour_within(df, keys, order, ["ts", value], window_s, chunk_s)
+    return paired.withColumn("increase", _growth(F.col(value), F.col(f"prev_{value}")))
 
 
 def counter_rate(df: DataFrame, keys: Sequence[str], window_s: int = 60, order: Sequence[str] = ("ts",),
-                 value: str = "value", chunk_s: int = DAY_S) -> DataFrame:
+                 value: str = "value", chunk_s: int = HOUR_S) -> DataFrame:
     """Rate per second at each sample over the trailing `(ts - window, ts]`, reset-aware.
 
     Growth between samples that both lie in the window, divided by the window; nothing is
-    extrapolated to the window edges. Null with fewer than two samples.
+    extrapolated to the window edges. Null with fewer than two samples. Previous sample and window
+    share one shuffle.
     """
     reach = window_s * MICRO
-    grown = increases(df, keys, order, value, chunk_s).withColumn("_us", F.unix_micros("ts"))
-    haloed = with_halo(grown, F.col("_us"), chunk_s * MICRO, reach)
-    frame = Window.partitionBy(*keys, CHUNK).orderBy("_us").rangeBetween(-(reach - 1), 0)
+    haloed = with_halo(df.withColumn("_us", F.unix_micros("ts")), F.col("_us"), max(chunk_s * MICRO, reach), reach)
+    part = Window.partitionBy(*keys, CHUNK)
+    grown = haloed.withColumn("_up", _growth(F.col(value), F.lag(value).over(part.orderBy(*order))))
+    frame = part.orderBy("_us").rangeBetween(-(reach - 1), 0)
     ties = [c for c in order if c != "ts"]
     rows = (
-        haloed.withColumn("_n", F.count(F.lit(1)).over(frame))
-        .withColumn("_sum", F.sum(F.coalesce("increase", F.lit(0.0))).over(frame))
+        grown.withColumn("_n", F.count(F.lit(1)).over(frame))
+        .withColumn("_sum", F.sum(F.coalesce("_up", F.lit(0.0))).over(frame))
         # The first row of the frame grew since a sample outside of it.
-        .withColumn("_edge", F.min(F.struct("_us", *ties, "increase")).over(frame))
+        .withColumn("_edge", F.min(F.struct("_us", *ties, "_up")).over(frame))
         .filter(~F.col("_halo"))
     )
-    rate = (F.col("_sum") - F.coalesce(F.col("_edge.increase"), F.lit(0.0))) / window_s
+    rate = (F.col("_sum") - F.coalesce(F.col("_edge._up"), F.lit(0.0))) / window_s
     return rows.select(*df.columns, F.when(F.col("_n") > 1, rate).alias("rate"))
 
 
@@ -85,14 +94,14 @@ def _between(df: DataFrame, first_us: int, last_us: int) -> DataFrame:
 
 def rate_range(df: DataFrame, source: Sequence[str], start, end, step_s: int, by: Sequence[str] = (),
                window_s: int = 60, order: Sequence[str] = ("ts",), value: str = "value",
-               chunk_s: int = DAY_S) -> DataFrame:
+               chunk_s: int = HOUR_S) -> DataFrame:
     """`sum(rate(counter[window]))` on a step grid.
 
     Each pair of neighbouring samples goes to the few grid instants whose window holds both (at most
     window / step), and a map-side combined sum does the rest: no range join, no nested loop.
     """
     s, e, w = _us(start), _us(end), window_s * MICRO
-    grown = increases(_between(df, s - w + 1, e), source, order, value, chunk_s)
+    grown = increases(_between(df, s - w + 1, e), source, window_s, order, value, chunk_s)
     instants = _grid_instants(F.unix_micros("ts"), F.unix_micros("prev_ts") + w, s, e, step_s * MICRO)
     hits = grown.filter(F.col("increase").isNotNull()).withColumn("_t", F.explode(instants))
     return hits.groupBy(*by, F.timestamp_micros("_t").alias("ts")).agg((F.sum("increase") / window_s).alias("value"))
@@ -100,11 +109,11 @@ def rate_range(df: DataFrame, source: Sequence[str], start, end, step_s: int, by
 
 def gauge_range(df: DataFrame, source: Sequence[str], start, end, step_s: int, by: Sequence[str] = (),
                 lookback_s: int = 300, order: Sequence[str] = ("ts",), value: str = "value",
-                divide_by: float = BYTES_PER_GB, chunk_s: int = DAY_S) -> DataFrame:
+                divide_by: float = BYTES_PER_GB, chunk_s: int = HOUR_S) -> DataFrame:
     """`sum(gauge) / 2^30` on a step grid: the latest sample of each source within the look-back."""
     s, e, w = _us(start), _us(end), lookback_s * MICRO
     rows = _between(df, s - w + 1, e)
-    paired = with_neighbour(rows, source, order, ["ts"], time_chunk("ts", chunk_s), forward=True)
+    paired = with_neighbour_within(rows, source, order, ["ts"], lookback_s, chunk_s, forward=True)
     us = F.unix_micros("ts")
     until = F.least(us + w, F.coalesce(F.unix_micros("next_ts"), us + w))
     hits = paired.withColumn("_t", F.explode(_grid_instants(us, until, s, e, step_s * MICRO)))
@@ -119,7 +128,7 @@ def instant_value(groups: DataFrame, values: DataFrame, by: Sequence[str]) -> Da
 
 
 def restart_spikes(pods: DataFrame, pod: Sequence[str], order: Sequence[str] = ("ts",),
-                   restarts: str = "restart_count", chunk_s: int = DAY_S) -> DataFrame:
+                   restarts: str = "restart_count", chunk_s: int = HOUR_S) -> DataFrame:
     """Per pod sample: did the restart counter grow since the sample before? The first never fires."""
     paired = with_neighbour(pods, pod, order, [restarts], time_chunk("ts", chunk_s))
     grew = F.coalesce(F.col(restarts) > F.col(f"prev_{restarts}"), F.lit(False))

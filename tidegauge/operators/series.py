@@ -10,9 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.functions import cpu_cores, nan_to_null, ram_gb
-from tidegauge.operators.ordered import CHUNK, attach_by_chunk, ends, lag_on_grid, time_chunk
+from tidegauge.operators.ordered import CHUNK, attach_by_chunk, ends, lag_on_grid, step_chunk, time_chunk
 
 DAY_S = 86400
+HOUR_S = 3600
 EXPLODE_BLOCK = 10_000
 
 
@@ -35,7 +36,7 @@ def total_usage(df: DataFrame, keys: Sequence[str] = ("app", "metric"), ts: str
 
 
 def resample(df: DataFrame, step_s: int, keys: Sequence[str] = ("series_id",), ts: str = "ts", value: str = "y",
-             origin_chunk_s: int = DAY_S) -> DataFrame:
+             origin_chunk_s: int = HOUR_S) -> DataFrame:
     """Mean per left-closed, left-labelled bin. Combined map-side, so a hot key costs one row per bin.
 
     Bins start at midnight of the first day of the key. When the step divides a day this is the epoch
@@ -68,7 +69,7 @@ def gap_fill(df: DataFrame, step_s: int, direction: str = "forward", keys: Seque
         raise ValueError(f"direction must be forward or both, got {direction}")
     part = [*keys, CHUNK]
     rows = df.select(*keys, F.unix_seconds("ts").alias("_b"), F.col("y").alias("_y")).withColumn(
-        CHUNK, F.floor(F.col("_b") / (step_s * chunk_steps))
+        CHUNK, step_chunk("_b", step_s * chunk_steps)
     )
     known = F.col("_y").isNotNull()
     row = F.struct("_b", "_y")
@@ -173,13 +174,13 @@ def seasonal_difference(df: DataFrame, lag: int, keys: Sequence[str] = ("series_
 
 def history_tail(df: DataFrame, n: int = 500, keys: Sequence[str] = ("series_id",),
                  order: Sequence[str] = ("ts",), chunk: Column | None = None) -> DataFrame:
-    return ends(df, keys, order, n, time_chunk(order[0], DAY_S) if chunk is None else chunk)
+    return ends(df, keys, order, n, time_chunk(order[0], HOUR_S) if chunk is None else chunk)
 
 
 def history_sample(df: DataFrame, n: int = 3, keys: Sequence[str] = ("series_id",),
                    order: Sequence[str] = ("ts",), chunk: Column | None = None) -> DataFrame:
     """First and last `n` rows per series with their rank from that end."""
-    chunk = time_chunk(order[0], DAY_S) if chunk is None else chunk
+    chunk = time_chunk(order[0], HOUR_S) if chunk is None else chunk
     head = ends(df, keys, order, n, chunk, last=False, rank="rank").withColumn("part", F.lit("head"))
     tail = ends(df, keys, order, n, chunk, last=True, rank="rank").withColumn("part", F.lit("tail"))
     return head.unionByName(tail)

@@ -16,20 +16,16 @@ fc AS (
       OR (t.split = 'test' AND s.step_idx = t.n_train + t.n_val - 24 + (t.step_idx - t.n_train - t.n_val) % 24)))"""
 
 
-def snaive_both(split_df):
-    return snaive_forecast(split_df, LAG).unionByName(snaive_forecast(split_df, LAG, predict="test"))
-
-
 @query("forecast_snaive", f"WITH {SNAIVE} SELECT series_id, model, split, step_idx, {s6('y_hat')} AS y_hat FROM fc")
 def forecast_snaive(spark, folder):
-    return snaive_both(hourly_split(spark, folder)).withColumn("y_hat", r6("y_hat"))
+    return snaive_forecast(hourly_split(spark, folder), LAG).withColumn("y_hat", r6("y_hat"))
 
 
 @query("forecast_errors", f"""WITH {SNAIVE}
 SELECT series_id, model, split, step_idx, {s6("y")} AS y, {s6("y_hat")} AS y_hat, {s6("y - y_hat")} AS error FROM fc""")
 def forecast_errors(spark, folder):
     split = hourly_split(spark, folder)
-    return metrics.forecast_errors(split, snaive_both(split)).select(
+    return metrics.forecast_errors(split, snaive_forecast(split, LAG)).select(
         "series_id", "model", "split", "step_idx", r6("y").alias("y"), r6("y_hat").alias("y_hat"), r6("error").alias("error")
     )
 
@@ -39,7 +35,7 @@ SELECT series_id, split, step_idx, {s6("y")} AS y, {s6("y_hat")} AS y_hat FROM f
 WHERE split = 'val' AND step_idx - n_train < 200""")
 def forecast_chart_data(spark, folder):
     split = hourly_split(spark, folder)
-    val = snaive_forecast(split, LAG)
+    val = snaive_forecast(split, LAG, predict=["val"])
     sizes = split.filter(F.col("split") == "val").select("series_id", "step_idx", "y", "n_train")
     joined = sizes.join(val, ["series_id", "step_idx"])
     return analysis.chart_points(joined, 200, "n_train").select(
@@ -72,11 +68,7 @@ SELECT * FROM o_val UNION ALL SELECT * FROM o_test""")
 def forecast_metrics(spark, folder):
     """Validation against train, test against train and val."""
     split = hourly_split(spark, folder)
-    out = None
-    for name, train in (("val", ["train"]), ("test", ["train", "val"])):
-        fc = snaive_forecast(split, LAG, predict=name)
-        one = metrics.forecast_metrics(split, fc, split.filter(F.col("split").isin(train)), LAG)
-        out = one if out is None else out.unionByName(one)
+    out = metrics.evaluate(split, snaive_forecast(split, LAG), LAG)
     for c in ("MAE", "RMSE", "SMAPE", "MASE", "RMSSE", "R2", "NMAE", "NRMSE", "STD_ERRORS"):
         out = out.withColumn(c, r6(c))
     return out

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import floor_ts
 from tidegauge.operators import analysis, metrics, series as ops, traces
-from tidegauge.plans.accuracy import SNAIVE, snaive_both
+from tidegauge.operators.models import snaive_forecast
+from tidegauge.plans.accuracy import SNAIVE
 from tidegauge.plans.forecasts import SES, ses_trials
 from tidegauge.plans.policy import EVAL, evaluated
 from tidegauge.plans.registry import (
-    CYCLES, HOUR, HOURLY, POLICY, SPLIT, TELE, cycles, events, hourly, hourly_split, out_ts, query, r6, s6, telemetry,
+    CYCLES, HOUR, HOURLY, LAG, POLICY, SPLIT, TELE, cycles, events, hourly, hourly_split, out_ts, query, r6, s6, telemetry,
 )
 from tidegauge.session import fresh_path
 from tidegauge.sources import tables, usage
@@ -119,7 +120,7 @@ def tuning_trials(spark, folder):
 SELECT series_id, model, step_idx, {s6("y_hat")} AS y_hat FROM fc WHERE split = 'test'""")
 def forecast_table(spark, folder):
     out = fresh_path(spark, "forecasts")
-    tables.write_forecasts(snaive_both(hourly_split(spark, folder)), out)
+    tables.write_forecasts(snaive_forecast(hourly_split(spark, folder), LAG), out)
     back = tables.read_forecasts(spark, out).filter(F.col("split") == "test")
     return back.select("series_id", "model", "step_idx", r6("y_hat").alias("y_hat"))
 

@@ -42,10 +42,11 @@ f AS (
   SELECT *, count(*) OVER r AS n, sum(coalesce(inc, 0)) OVER r AS total, first_value(coalesce(inc, 0)) OVER r AS edge
   FROM d WINDOW r AS (PARTITION BY pod ORDER BY ts RANGE BETWEEN INTERVAL '{WINDOW_S - 1}.999999 seconds' PRECEDING
     AND CURRENT ROW))
-SELECT namespace, pod, ts, event_id, {s6(f"CASE WHEN n > 1 THEN (total - edge) / {WINDOW_S} END")} AS rate FROM f""")
+SELECT namespace, pod, ts, event_id, {s6(f"CASE WHEN n > 1 THEN (total - edge) / {WINDOW_S} * 3600 END")} AS per_hour FROM f""")
 def counter_rate(spark, folder):
     rated = samples.counter_rate(counters(spark, folder), ["namespace", "pod"], WINDOW_S, ["ts", "event_id"])
-    return rated.select("namespace", "pod", out_ts("ts").alias("ts"), "event_id", r6("rate").alias("rate"))
+    return rated.select("namespace", "pod", out_ts("ts").alias("ts"), "event_id",
+                        r6(F.col("rate") * 3600).alias("per_hour"))
 
 
 _RANGE = f"""WITH {COUNTERS}, win AS (
@@ -54,7 +55,7 @@ p AS (
   SELECT *, lag(ts) OVER w AS pts, lag(value) OVER w AS pv FROM win
   WINDOW w AS (PARTITION BY pod ORDER BY ts, event_id)),
 g AS (SELECT unnest(generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}', INTERVAL '{STEP_S} seconds')) AS t)
-SELECT namespace, t AS ts, {s6(f"sum(CASE WHEN value >= pv THEN value - pv ELSE value END) / {WINDOW_S}")} AS value
+SELECT namespace, t AS ts, {s6(f"sum(CASE WHEN value >= pv THEN value - pv ELSE value END) / {WINDOW_S} * 3600")} AS per_hour
 FROM p JOIN g ON p.ts <= t AND p.pts > t - INTERVAL '{WINDOW_S} seconds'
 GROUP BY ALL"""
 
@@ -63,7 +64,7 @@ GROUP BY ALL"""
 def metric_range(spark, folder):
     out = samples.rate_range(counters(spark, folder), ["namespace", "pod"], START, END, STEP_S, ["namespace"],
                              WINDOW_S, ["ts", "event_id"])
-    return out.select("namespace", out_ts("ts").alias("ts"), r6("value").alias("value"))
+    return out.select("namespace", out_ts("ts").alias("ts"), r6(F.col("value") * 3600).alias("per_hour"))
 
 
 @query("gauge_sum", f"""WITH n AS (
@@ -90,13 +91,15 @@ p AS (
   SELECT *, lag(value) OVER w AS pv FROM win WINDOW w AS (PARTITION BY pod ORDER BY ts, event_id)),
 v AS (SELECT namespace, sum(CASE WHEN value >= pv THEN value - pv ELSE value END) / {WINDOW_S} AS value FROM p
   WHERE pv IS NOT NULL GROUP BY 1)
-SELECT DISTINCT namespace, {s6("coalesce(v.value, 0.0::DOUBLE)")} AS value FROM cnt LEFT JOIN v USING (namespace)""")
+SELECT DISTINCT namespace, {s6("coalesce(v.value, 0.0::DOUBLE) * 3600")} AS per_hour FROM cnt LEFT JOIN v USING (namespace)""")
 def metric_instant(spark, folder):
     rows = counters(spark, folder)
     at = samples.rate_range(rows, ["namespace", "pod"], END, END, STEP_S, ["namespace"], WINDOW_S, ["ts", "event_id"])
     # Namespaces come from the narrow table, not from the counters, so the sums run once.
     names = events(spark, folder).select((F.col("user_id") % 5).alias("namespace"))
-    return samples.instant_value(names, at, ["namespace"]).select("namespace", r6("value").alias("value"))
+    return samples.instant_value(names, at, ["namespace"]).select(
+        "namespace", r6(F.col("value") * 3600).alias("per_hour")
+    )
 
 
 @query("label_keep", """SELECT event_id, event_type AS namespace, 'node-1' AS node, value FROM events

@@ -215,12 +215,8 @@ OSC = f"""{osc_sql("horizontal", 10800, "oscillation_horizontal_count")},
 
 @query("oscillations", f"WITH {EVAL}, {OSC} SELECT * FROM o_horizontal JOIN o_vertical USING (namespace)")
 def oscillations(spark, folder):
-    ev = evaluated(spark, folder)
-    h = metrics.oscillations(ev, "action_horizontal", POLICY.down_cooldown_s, name="oscillation_horizontal_count",
-                             tie=["event_id"])
-    v = metrics.oscillations(ev, "action_vertical", POLICY.vertical_cooldown_s, name="oscillation_vertical_count",
-                             tie=["event_id"])
-    return h.join(v, "namespace")
+    cooldowns = {"horizontal": POLICY.down_cooldown_s, "vertical": POLICY.vertical_cooldown_s}
+    return metrics.oscillations(evaluated(spark, folder), cooldowns, tie=["event_id"])
 
 
 def _timing_sql() -> str:

@@ -92,7 +92,7 @@ d AS (
   SELECT *, CASE WHEN lag(value) OVER o IS NULL THEN 0 WHEN value >= lag(value) OVER o THEN value - lag(value) OVER o ELSE value END
     AS inc, count(*) OVER (PARTITION BY pod, ws) AS n
   FROM w WINDOW o AS (PARTITION BY pod, ws ORDER BY ts, event_id))
-SELECT namespace, ws + INTERVAL '2 hours' AS ts, {s6("sum(inc) / 7200")} AS rate FROM d
+SELECT namespace, ws + INTERVAL '2 hours' AS ts, {s6("sum(inc) / 7200 * 3600")} AS per_hour FROM d
 WHERE n > 1 AND ws + INTERVAL '2 hours' <= {CLOSED} GROUP BY namespace, ws""")
 def stream_counter_rate_query(spark, folder):
     """Counters as a stream of files, rates over sliding windows, summed over the pods of a namespace."""
@@ -103,7 +103,7 @@ def stream_counter_rate_query(spark, folder):
     rates = stream_counter_rate(stream, "2 hours", "1 hour", DELAY, ["namespace", "pod"], ["ts", "event_id"], window_s=7200)
     table = run_to_table(rates, fresh_path(spark, "rates"))
     return table.groupBy("namespace", "ts").agg(F.sum("rate").alias("rate")).select(
-        "namespace", out_ts("ts").alias("ts"), r6("rate").alias("rate")
+        "namespace", out_ts("ts").alias("ts"), r6(F.col("rate") * 3600).alias("per_hour")
     )
 
 
