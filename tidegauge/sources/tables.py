@@ -82,8 +82,8 @@ def write_summary_csv(df: DataFrame, folder: str) -> None:
 
 def _read_json_files(spark: SparkSession, folder: str, name: str, schema: str, skip: str | None) -> DataFrame:
     files = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).option("wholetext", "true")
-        .text(folder).select(F.input_file_name().alias("path"), F.col("value").alias("json"))
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
+        .text(folder, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("json"))
     )
     if skip:
         files = files.filter(~F.col("path").rlike(f"/{skip}/"))
