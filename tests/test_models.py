@@ -77,8 +77,7 @@ def test_smoothing_closed_form_is_the_recursion(spark):
 
 
 @pytest.mark.parametrize("name,params,tol", [
-    # A periodic extension cannot follow a trend, so the trend comes off first.
-    ("FFT", {"trend": "poly", "poly_degree": "1"}, 1.0), ("Prophet", {"daily_seasonality": "true", "weekly_seasonality": "false"}, 0.2),
+    ("Prophet", {"daily_seasonality": "true", "weekly_seasonality": "false"}, 0.2),
     ("ExponentialSmoothing", {"trend": "additive", "seasonal": "additive", "seasonal_periods": "24"}, 0.5),
     ("SeasonalNaive", {"lag": "24"}, 1.0),
 ])
@@ -96,6 +95,17 @@ def test_spectral_is_exact_on_whole_periods():
     assert np.allclose(out, y[60:])
 
 
+@pytest.mark.parametrize("n", [97, 120])
+def test_spectral_is_the_periodic_extension_of_the_filtered_series(n):
+    y = daily(n, 8, 3.0)
+    t = np.arange(2 * n) / (n - 1)
+    coef = np.polyfit(t[:n], y, 3)
+    freq = np.fft.rfft(y - np.polyval(coef, t[:n]))
+    freq[np.argsort(-np.abs(freq))[10:]] = 0
+    want = np.fft.irfft(freq, n) + np.polyval(coef, t[n:])
+    assert np.allclose(models.spectral(y, n, HOUR, {"trend": "poly"}), want)
+
+
 def test_failures_become_a_status(spark):
     arrays = ops.series_arrays(frame(spark, {"short": [1.0, 2.0], "long": daily(100)}))
     params = {"ExponentialSmoothing": {"seasonal": "additive", "seasonal_periods": "24"}}
