@@ -18,22 +18,23 @@ CALIBRATION = {
 }
 
 
+def _inline(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
+    """Literal rows as an inline table: Catalyst knows the size and broadcasts it without being told."""
+    cell = lambda v: f"'{v}'" if isinstance(v, str) else ("true" if v is True else "false" if v is False else str(v))
+    values = ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
 def capacity(spark: SparkSession) -> DataFrame:
-    """One row per app. A handful of literals: Catalyst sees the size and broadcasts it by itself."""
+    """One row per app with per-instance and total capacity."""
     rows = [(a, i, c, r, gb, i * c, i * r) for a, (i, c, r, gb) in CAPACITY.items()]
-    return spark.createDataFrame(
-        rows,
-        "app string, instances int, cores int, ram_gb int, ram_already_gb boolean,"
-        " total_cores int, total_ram_gb int",
-    )
+    return _inline(spark, "app, instances, cores, ram_gb, ram_already_gb, total_cores, total_ram_gb", rows)
 
 
 def calibration(spark: SparkSession) -> DataFrame:
-    rows = [(a, v["peak_cpu_cores"], v["peak_rps"], v["min_memory_mb"], v["max_memory_mb"])
-            for a, v in CALIBRATION.items()]
-    return spark.createDataFrame(
-        rows, "app string, peak_cpu_cores double, peak_rps int, min_memory_mb int, max_memory_mb int"
-    )
+    table = _inline(spark, "app, peak_cpu_cores, peak_rps, min_memory_mb, max_memory_mb",
+                    [(a, *v.values()) for a, v in CALIBRATION.items()])
+    return table.withColumn("peak_cpu_cores", F.col("peak_cpu_cores").cast("double"))
 
 
 def lookup(column, position: int, default=None):

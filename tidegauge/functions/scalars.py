@@ -195,7 +195,8 @@ def trace_rps(cores, total_cores, peak_rps) -> Column:
     return F.greatest(F.lit(1.0), F.rint(_c(cores) / _c(total_cores) * peak_rps)).cast("int")
 
 
-def trace_memory_mb(gb, total_gb, min_mb: int, max_mb: int, step_mb: int) -> Column:
-    mb = F.rint(_c(gb) / _c(total_gb) * max_mb)
-    mb = F.greatest(F.lit(float(min_mb)), F.least(mb, F.lit(float(max_mb))))
+def trace_memory_mb(gb, total_gb, min_mb, max_mb, step_mb: int) -> Column:
+    """Share of the maximum, clamped, then rounded to the step; bounds are numbers or columns."""
+    low, high = [(c if isinstance(c, Column) else F.lit(c)).cast("double") for c in (min_mb, max_mb)]
+    mb = F.greatest(low, F.least(F.rint(_c(gb) / _c(total_gb) * high), high))
     return (F.rint(mb / step_mb) * step_mb).cast("int")

@@ -211,6 +211,14 @@ def model_structs(models: dict[str, dict]) -> Column:
     return F.array(*items)
 
 
+def with_models(arrays: DataFrame, models: dict[str, dict] | DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Array rows next to each model: the same models for all (a dict), or `(keys…, model, params)` per series."""
+    if isinstance(models, dict):
+        paired = arrays.withColumn("_m", F.explode(model_structs(models)))
+        return paired.withColumn("model", F.col("_m.model")).withColumn("params", F.col("_m.params")).drop("_m")
+    return arrays.join(models.select(*keys, "model", "params"), list(keys))
+
+
 def forecast_units(units: DataFrame, keys: Sequence[str], step_s: int) -> DataFrame:
     """Runs one model per unit row `(keys…, model, params, values, horizon, first_step)`.
 
@@ -244,13 +252,12 @@ def _params(value) -> dict:
     return dict(value) if value is not None else {}
 
 
-def forecast(arrays: DataFrame, models: dict[str, dict], horizon: int, step_s: int,
+def forecast(arrays: DataFrame, models: dict[str, dict] | DataFrame, horizon: int, step_s: int,
              keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Next `horizon` steps of every series by every model."""
-    units = (
-        arrays.withColumn("_m", F.explode(model_structs(models)))
-        .select(*keys, "values", F.col("_m.model").alias("model"), F.col("_m.params").alias("params"),
-                F.lit(horizon).alias("horizon"), F.size("values").cast("bigint").alias("first_step"))
+    units = with_models(arrays, models, keys).select(
+        *keys, "values", "model", "params", F.lit(horizon).alias("horizon"),
+        F.size("values").cast("bigint").alias("first_step"),
     )
     return forecast_units(spread(units, [*keys, "model"]), keys, step_s)
 
@@ -260,7 +267,7 @@ def split_sizes(train: float = 0.70, val: float = 0.15) -> tuple[Column, Column]
     return F.floor(n * F.lit(train)).cast("int"), F.floor(n * F.lit(val)).cast("int")
 
 
-def forecast_val_test(arrays: DataFrame, models: dict[str, dict], step_s: int,
+def forecast_val_test(arrays: DataFrame, models: dict[str, dict] | DataFrame, step_s: int,
                       keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Train predicts val, train and val predict test, for every series and model."""
     n_train, n_val = split_sizes()
@@ -270,10 +277,9 @@ def forecast_val_test(arrays: DataFrame, models: dict[str, dict], step_s: int,
         F.struct(F.lit("test").alias("split"), (n_train + n_val).alias("fit"), (n - n_train - n_val).alias("horizon")),
     )
     units = (
-        arrays.withColumn("_m", F.explode(model_structs(models)))
+        with_models(arrays, models, keys)
         .withColumn("_s", F.explode(stages))
-        .select(*keys, F.col("_s.split").alias("split"), F.col("_m.model").alias("model"),
-                F.col("_m.params").alias("params"), F.slice("values", F.lit(1), F.col("_s.fit")).alias("values"),
+        .select(*keys, F.col("_s.split").alias("split"), "model", "params", F.slice("values", F.lit(1), F.col("_s.fit")).alias("values"),
                 F.col("_s.horizon").alias("horizon"), F.col("_s.fit").cast("bigint").alias("first_step"))
         .filter(F.col("horizon") > 0)
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions import SANITIZED_VALUE, sanitize_prediction
 from tidegauge.operators.models import (
-    MODELS, Model, _params, forecast_units, model_functions, model_structs, run_model, split_sizes, spread,
+    MODELS, Model, _params, forecast_units, model_functions, model_structs, run_model, split_sizes, spread, with_models,
 )
 from tidegauge.operators.ordered import step_chunk, with_running_sum
 
@@ -237,25 +237,26 @@ def _score_units(units: DataFrame, keys: Sequence[str], step_s: int) -> DataFram
     return units.mapInPandas(run, schema + ", block bigint, rmse double, status string")
 
 
-def _block_units(arrays: DataFrame, backward: int, forward: int, blocks_per_unit: int) -> DataFrame:
-    """Array rows exploded into runs of blocks; the series is cut at the end of each run."""
+def _block_units(arrays: DataFrame, backward: Column, forward: int, blocks_per_unit: int, part: str) -> DataFrame:
+    """Array rows exploded into runs of blocks of one hold-out part; the series is cut at the end of each run."""
     n_train, n_val = split_sizes()
-    n_prior = n_train + n_val
-    n_test = F.size("values") - n_prior
-    last = F.floor((n_test - 1) / forward).cast("int")
+    prior, size = {
+        "val": (n_train, n_val), "test": (n_train + n_val, F.size("values") - n_train - n_val)
+    }[part]
+    last = F.floor((F.col("_size") - 1) / forward).cast("int")
     runs = F.sequence(F.lit(0), last, F.lit(blocks_per_unit))
 
     def one(b: Column) -> Column:
         offset = b * forward
         start = F.col("_prior") + offset
-        tail = F.least(offset, F.lit(backward))
+        tail = F.least(offset, backward)
         return F.struct(
             b.alias("block"), (start - tail).alias("tail_start"), start.alias("block_start"),
-            F.least(F.lit(forward), F.col("_n_test") - offset).alias("block_len"),
+            F.least(F.lit(forward), F.col("_size") - offset).alias("block_len"),
         )
 
     return (
-        arrays.withColumn("_prior", n_prior).withColumn("_n_test", n_test).filter(F.col("_n_test") > 0)
+        arrays.withColumn("_prior", prior).withColumn("_size", size).filter(F.col("_size") > 0)
         .withColumn("_last", last).withColumn("unit", F.explode(runs))
         .withColumn("blocks", F.transform(
             F.sequence(F.col("unit"), F.least(F.col("unit") + (blocks_per_unit - 1), F.col("_last"))), one))
@@ -268,36 +269,43 @@ def initial_component(models: Sequence[str], seed: int = 42) -> str:
     return random.Random(seed).choice(list(models))
 
 
-def ensemble_backtest(arrays: DataFrame, models: dict[str, dict], backward: int, forward: int, step_s: int,
-                      keys: Sequence[str] = ("series_id",), initial: str | None = None,
-                      blocks_per_unit: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Walk-forward ensemble over the test part; returns `(choices, forecasts)`.
+def ensemble_backtest(arrays: DataFrame, models: dict[str, dict] | DataFrame, backward: int | Column, forward: int,
+                      step_s: int, keys: Sequence[str] = ("series_id",), initial: str | None = None,
+                      blocks_per_unit: int = 8, part: str = "test",
+                      order: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Walk-forward ensemble over a hold-out part; returns `(choices, forecasts)`.
 
     Only actuals feed the training, so blocks do not depend on each other: all (series, block, model)
     scores are computed in parallel, then only the winners are fitted on everything before the block.
+    `models` is one dict for all series or `(keys…, model, params)` per series, then with the component
+    order for ties in `order`. `backward` may be a column of the keys.
     """
-    names = list(models)
+    names = list(models) if isinstance(models, dict) else list(order or [])
+    if not names:
+        raise ValueError("an ensemble needs at least one component")
     initial = initial or initial_component(names)
     key_list = list(keys)
-    base = _block_units(arrays.select(*keys, "values"), backward, forward, blocks_per_unit)
-    units = base.withColumn("_m", F.explode(model_structs(models))).select(
-        *keys, "unit", "values", "blocks", F.col("_m.model").alias("model"), F.col("_m.params").alias("params")
-    )
+    tail = F.lit(backward) if isinstance(backward, int) else backward
+    base = _block_units(arrays.select(*keys, "values"), tail, forward, blocks_per_unit, part)
+    units = with_models(base, models, key_list).select(*keys, "unit", "values", "blocks", "model", "params")
     scores = _score_units(spread(units, [*key_list, "model", "unit"]), key_list, step_s)
     choices = pick_component(scores, names, initial, keys)
 
     # Winners per unit (a unit holds few blocks) meet the unit's array once.
     wins = choices.withColumn("unit", (F.floor(F.col("block") / blocks_per_unit) * blocks_per_unit).cast("int"))
-    grouped = wins.groupBy(*keys, "unit").agg(F.collect_list(F.struct("block", "model")).alias("_wins"))
-    table = F.create_map(*[x for n in names for x in (F.lit(n), model_structs({n: models[n]})[0]["params"])])
+    if isinstance(models, dict):
+        table = F.create_map(*[x for n in names for x in (F.lit(n), model_structs({n: models[n]})[0]["params"])])
+        wins = wins.withColumn("params", F.try_element_at(table, F.col("model")))
+    else:
+        wins = wins.join(models.select(*keys, "model", "params"), [*key_list, "model"])
+    grouped = wins.groupBy(*keys, "unit").agg(F.collect_list(F.struct("block", "model", "params")).alias("_wins"))
     fits = (
         base.join(grouped, [*key_list, "unit"])
         .withColumn("_b", F.explode("blocks"))
         .withColumn("_w", F.filter("_wins", lambda w: w["block"] == F.col("_b.block"))[0])
         .select(
             *keys, F.col("_b.block").cast("bigint").alias("block"), F.col("_w.model").alias("model"),
-            F.try_element_at(table, F.col("_w.model")).alias("params"),
-            F.slice("values", F.lit(1), F.col("_b.block_start")).alias("values"),
+            F.col("_w.params").alias("params"), F.slice("values", F.lit(1), F.col("_b.block_start")).alias("values"),
             F.col("_b.block_len").alias("horizon"), F.col("_b.block_start").cast("bigint").alias("first_step"),
         )
     )
@@ -305,6 +313,21 @@ def ensemble_backtest(arrays: DataFrame, models: dict[str, dict], backward: int,
     return choices, done.withColumn("y_hat", sanitize_prediction("y_hat"))
 
 
+def tune_ensemble(arrays: DataFrame, models: dict[str, dict] | DataFrame, backwards: Sequence[int], forward: int,
+                  step_s: int, keys: Sequence[str] = ("series_id",), order: Sequence[str] | None = None) -> DataFrame:
+    """Validation RMSE of the ensemble for every backward window; the windows are one more key."""
+    windows = F.explode(F.array(*[F.lit(int(b)) for b in backwards]))
+    wide = arrays.select(*keys, "values").withColumn("backward_window", windows)
+    all_keys = [*keys, "backward_window"]
+    if not isinstance(models, dict):
+        models = models.withColumn("backward_window", windows)
+    _, forecasts = ensemble_backtest(wide, models, F.col("backward_window"), forward, step_s, all_keys, part="val", order=order)
+    actual = arrays.select(*keys, F.posexplode("values").alias("step_idx", "y"))
+    errors = forecasts.join(actual, [*keys, "step_idx"])
+    miss = F.col("y") - F.col("y_hat")
+    return errors.groupBy(*all_keys).agg(F.sqrt(F.avg(miss * miss)).alias("rmse"))
+
+
 def select_online(fns: dict[str, Model], y: np.ndarray, models: dict[str, dict], current: str, backward: int, step_s: int) -> tuple[str, float]:
     """Sticky choice on the last `backward` points: switch only to a strictly smaller error."""
     if len(y) <= backward:
@@ -347,7 +370,7 @@ def ensemble_select_online(arrays: DataFrame, models: dict[str, dict], backward:
     )
 
 
-def timed_fits(arrays: DataFrame, models: dict[str, dict], step_s: int, keys: Sequence[str] = ("series_id",)) -> DataFrame:
+def timed_fits(arrays: DataFrame, models: dict[str, dict] | DataFrame, step_s: int, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Log of one val and one test evaluation per series and model: `(fit_s, predict_s, evaluations)`.
 
     Models fit and predict in one call, so half of the elapsed time counts for each, as for ensembles.
@@ -355,9 +378,8 @@ def timed_fits(arrays: DataFrame, models: dict[str, dict], step_s: int, keys: Se
     import time
 
     n_train, n_val = split_sizes()
-    units = arrays.withColumn("_m", F.explode(model_structs(models))).select(
-        *keys, "values", n_train.alias("n_train"), (n_train + n_val).alias("n_prior"), F.col("_m.model").alias("model"),
-        F.col("_m.params").alias("params"),
+    units = with_models(arrays, models, keys).select(
+        *keys, "values", n_train.alias("n_train"), (n_train + n_val).alias("n_prior"), "model", "params"
     )
     keep, fns = [*keys, "model"], model_functions()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.select(*keep).schema)

@@ -9,7 +9,7 @@ from tidegauge.functions import half_even, phase_tag, trace_memory_mb, trace_rps
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
 
 
-def cpu_trace(series: DataFrame, total_cores, peak_rps: int, warmup_steps: int = 0, keys=("app",)) -> DataFrame:
+def cpu_trace(series: DataFrame, total_cores, peak_rps, warmup_steps: int = 0, keys=("app",)) -> DataFrame:
     return series.select(
         *keys, F.col("step_idx").alias("index"), F.date_format("ts", ISO).alias("timestamp"),
         trace_rps("y", total_cores, peak_rps).alias("rps"), half_even("y", 4).alias("cpu_actual_cores"),
@@ -17,7 +17,7 @@ def cpu_trace(series: DataFrame, total_cores, peak_rps: int, warmup_steps: int =
     )
 
 
-def ram_trace(series: DataFrame, total_gb, min_mb: int = 64, max_mb: int = 8192, step_mb: int = 64,
+def ram_trace(series: DataFrame, total_gb, min_mb=64, max_mb=8192, step_mb: int = 64,
               warmup_steps: int = 0, keys=("app",)) -> DataFrame:
     return series.select(
         *keys, F.col("step_idx").alias("index"), F.date_format("ts", ISO).alias("timestamp"),

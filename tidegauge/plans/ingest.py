@@ -201,10 +201,9 @@ def results_summary(spark, folder):
 SELECT series_id, ts, {s6("y * (48 / 5.0::DOUBLE)")} AS y FROM b""")
 def bootstrap_history(spark, folder):
     """Warm start: the last 30 steps before an instant, rescaled to the capacity of the real system."""
-    end = F.lit("2024-01-20").cast("timestamp")
-    recent = events(spark, folder).filter(
-        (F.col("ts") > end - F.expr("INTERVAL 30 HOURS")) & (F.col("ts") <= end)
-    ).select(F.col("event_type").alias("series_id"), "ts", F.col("value").alias("y"))
+    recent = events(spark, folder, "2024-01-18 18:00:00", "2024-01-20 00:00:00").select(
+        F.col("event_type").alias("series_id"), "ts", F.col("value").alias("y")
+    )
     hist = ops.resample(recent, HOUR)
     return hist.select("series_id", out_ts("ts").alias("ts"), r6(F.col("y") * (F.lit(48.0) / POLICY.vm_cpu_cap)).alias("y"))
 

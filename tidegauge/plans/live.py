@@ -12,6 +12,7 @@ from tidegauge.plans.registry import POLICY, events, out_ts, query, r6, s6
 # The counter of a pod (a user) is the running sum of its values; every 50th event of a pod restarts it.
 START, END = "2024-01-10 00:00:00", "2024-01-12 00:00:00"
 WINDOW_S, STEP_S = 7200, 3600
+LOOKBACK_START = "2024-01-09 22:00:00"
 
 
 def counters(spark, folder):
@@ -76,7 +77,7 @@ SELECT namespace, t AS ts, {s6("sum(v) / 1073741824.0::DOUBLE")} AS value
 FROM n JOIN g ON n.ts <= t AND n.ts > t - INTERVAL '{WINDOW_S} seconds' AND (nts IS NULL OR nts > t)
 GROUP BY ALL""")
 def gauge_sum(spark, folder):
-    rows = events(spark, folder).select(
+    rows = events(spark, folder, LOOKBACK_START, END).select(
         F.col("event_type").alias("namespace"), F.col("user_id").alias("pod"), "ts", "event_id",
         (F.col("value") * 1000000).alias("value"),
     )

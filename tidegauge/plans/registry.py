@@ -61,8 +61,14 @@ def out_ts(col) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("timestamp_ntz")
 
 
-def events(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+def events(spark: SparkSession, folder: str, after: str | None = None, until: str | None = None) -> DataFrame:
+    """Events with a zoned timestamp; a time range is a filter on the stored column, so the scan prunes by it."""
+    table = read_table(spark, folder, "events")
+    if after:
+        table = table.filter(F.col("ts") > F.lit(after).cast("timestamp_ntz"))
+    if until:
+        table = table.filter(F.col("ts") <= F.lit(until).cast("timestamp_ntz"))
+    return table.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def app_of(user: str = "user_id") -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 DATE_FORMAT = "M/d/yy H:mm"
 FILE_NAME = r"([^/_]+)_application_([^_/]+)_([^_/]+)_([^_/]+?)(?:\.csv)?$"
+HEADER_SALTS = 32
 FIXED = ("timestamp", "timestamp_date_format")
 
 
@@ -36,8 +37,10 @@ def read_usage(spark: SparkSession, folder: str, instances: Sequence[str] | None
     is_header = F.col("cells")[0] == FIXED[0]
     header = lines.filter(is_header).groupBy("path").agg(F.first("cells").alias("header"))
     rows = lines.filter(~is_header & (F.size("cells") > 2))
-    # Headers: one small row per file; Spark measures the side before it broadcasts it.
-    wide = rows.join(header, "path")
+    # One header row per file meets the rows of the file. Salted, because one file may hold most rows.
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("cells"), F.lit(HEADER_SALTS)).cast("int"))
+    spread = header.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HEADER_SALTS - 1))))
+    wide = salted.join(spread, ["path", "_salt"])
     cells = F.arrays_zip(F.slice("header", 3, F.size("header") - 2).alias("instance"),
                          F.slice("cells", 3, F.size("cells") - 2).alias("value"))
     long = wide.select("path", parse_time(F.col("cells")[1]).alias("ts"), F.explode(cells).alias("_c"))
