@@ -152,7 +152,8 @@ def with_neighbour_within(df: DataFrame, keys: Sequence[str], order: Sequence[st
     prefix, shift = ("next_", F.lead) if forward else ("prev_", F.lag)
     fields = list(dict.fromkeys([ts, *cols]))
     within = Window.partitionBy(*_parts(keys)).orderBy(*order)
-    size = max(chunk_s, reach_s) * 1_000_000
+    # Chunks of at least four reaches: at most a quarter of the rows is copied.
+    size = max(chunk_s, 4 * reach_s) * 1_000_000
     rows = with_halo(df, us, size, reach_s * 1_000_000, forward).withColumn(
         "_near", shift(F.struct(*fields)).over(within)
     ).filter(~F.col("_halo"))

@@ -51,20 +51,28 @@ def counter_rate(df: DataFrame, keys: Sequence[str], window_s: int = 60, order:
     share one shuffle.
     """
     reach = window_s * MICRO
-    haloed = with_halo(df.withColumn("_us", F.unix_micros("ts")), F.col("_us"), max(chunk_s * MICRO, reach), reach)
+    haloed = with_halo(df.withColumn("_us", F.unix_micros("ts")), F.col("_us"), max(chunk_s * MICRO, 4 * reach), reach)
     part = Window.partitionBy(*keys, CHUNK)
-    grown = haloed.withColumn("_up", _growth(F.col(value), F.lag(value).over(part.orderBy(*order))))
-    frame = part.orderBy("_us").rangeBetween(-(reach - 1), 0)
-    ties = [c for c in order if c != "ts"]
+    inside = part.orderBy(*order)
+    by_time = part.orderBy("_us")
+    grown = haloed.withColumn("_i", F.row_number().over(inside)).withColumn(
+        "_up", F.coalesce(_growth(F.col(value), F.lag(value).over(inside)), F.lit(0.0))
+    )
+    # Prefix sums, not sliding frames: a sliding frame is summed anew for every row, which is quadratic
+    # in the density of the samples. The rate is the growth so far less the growth up to the first row
+    # of the window, which is the row after the last one outside.
+    so_far = grown.withColumn("_sum", F.sum("_up").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = so_far.withColumn("_next", F.lead("_sum").over(inside))
+    outside = by_time.rangeBetween(Window.unboundedPreceding, -reach)
+    until = by_time.rangeBetween(Window.unboundedPreceding, 0)
     rows = (
-        grown.withColumn("_n", F.count(F.lit(1)).over(frame))
-        .withColumn("_sum", F.sum(F.coalesce("_up", F.lit(0.0))).over(frame))
-        # The first row of the frame grew since a sample outside of it.
-        .withColumn("_edge", F.min(F.struct("_us", *ties, "_up")).over(frame))
+        so_far.withColumn("_out", F.max(F.struct("_i", "_next")).over(outside))
+        .withColumn("_last", F.max(F.struct("_i", "_sum")).over(until))
         .filter(~F.col("_halo"))
     )
-    rate = (F.col("_sum") - F.coalesce(F.col("_edge._up"), F.lit(0.0))) / window_s
-    return rows.select(*df.columns, F.when(F.col("_n") > 1, rate).alias("rate"))
+    n = F.col("_last._i") - F.coalesce(F.col("_out._i"), F.lit(0))
+    rate = (F.col("_last._sum") - F.when(F.col("_out").isNotNull(), F.col("_out._next")).otherwise(F.lit(0.0))) / window_s
+    return rows.select(*df.columns, F.when(n > 1, rate).alias("rate"))
 
 
 def _grid_instants(first_us: Column, before_us: Column, start_us: int, end_us: int, step_us: int) -> Column:
