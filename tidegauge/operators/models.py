@@ -197,8 +197,13 @@ def run_model(fns: dict[str, Model], name: str, values, horizon: int, step_s: in
 
 
 def spread(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Even out fan-out rows over tasks: the key has the unit of work, so a long series is not one task."""
-    return df.repartition(*cols)
+    """Even out fan-out rows over tasks: the key has the unit of work, so a long series is not one task.
+
+    The number of partitions is fixed: adaptive execution would merge partitions by their bytes, and
+    fits are few bytes but much work.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
 
 
 def model_structs(models: dict[str, dict]) -> Column:

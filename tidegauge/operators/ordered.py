@@ -108,22 +108,19 @@ def ends(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, chunk
          last: bool = True, rank: str | None = None) -> DataFrame:
     """The last (or first) `n` rows of every key, without sorting whole keys.
 
-    Chunk counts tell which chunks can hold one of them; only rows of those chunks are ranked.
+    No more than `n` rows of a chunk can be among them, and Spark applies that limit before the shuffle.
+    The counts of the chunks nearer to the end then tell which of these rows are.
     """
     part = _parts(keys)
     rows = df.withColumn(CHUNK, chunk)
+    order_cols = [F.col(c).desc() if last else F.col(c).asc() for c in order]
+    within = F.row_number().over(Window.partitionBy(*part).orderBy(*order_cols))
+    top = rows.withColumn("_rank", within).filter(F.col("_rank") <= n)
     counts = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
     by_chunk = F.col(CHUNK).desc() if last else F.col(CHUNK).asc()
     seen = F.sum("_n").over(Window.partitionBy(*keys).orderBy(by_chunk)) - F.col("_n")
     needed = counts.withColumn("_seen", seen).filter(F.col("_seen") < n).select(*part, "_seen")
-    order_cols = [F.col(c).desc() if last else F.col(c).asc() for c in order]
-    within = Window.partitionBy(*part).orderBy(*order_cols)
-    kept = (
-        rows.join(needed, part)
-        .withColumn("_rank", F.row_number().over(within))
-        .withColumn("_rank", F.col("_rank") + F.col("_seen"))
-        .filter(F.col("_rank") <= n)
-    )
+    kept = top.join(needed, part).withColumn("_rank", F.col("_rank") + F.col("_seen")).filter(F.col("_rank") <= n)
     extra = [F.col("_rank").alias(rank)] if rank else []
     return kept.select(*df.columns, *extra)
 
