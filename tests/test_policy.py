@@ -1,4 +1,4 @@
-"""Scaling policy and samples: a plain loop over rows as the brute-force reference."""
+"""Scaling policy and samples: a plain loop over rows as the brute-force check."""
 
 import datetime as dt
 import math

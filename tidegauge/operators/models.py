@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions import lag_for_step
 
@@ -450,11 +450,13 @@ def spectrum(arrays: DataFrame, top_k: int, keys: Sequence[str] = ("series_id",)
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 f = np.fft.rfft(filled(np.asarray(row["values"], dtype=float)))
-                out = pd.DataFrame({"k": np.arange(len(f)), "re": f.real, "im": f.imag, "amplitude": np.abs(f)})
+                k = np.argsort(-np.abs(f), kind="stable")[:top_k]
+                out = pd.DataFrame({"k": k, "re": f.real[k], "im": f.imag[k], "amplitude": np.abs(f[k]),
+                                    "rank": np.arange(1, len(k) + 1)})
                 for c in key_list:
                     out[c] = row[c]
-                yield out[[*key_list, "k", "re", "im", "amplitude"]]
+                yield out[[*key_list, "k", "re", "im", "amplitude", "rank"]]
 
-    freq = arrays.select(*key_list, "values").mapInPandas(run, key_schema + ", k bigint, re double, im double, amplitude double")
-    rank = F.row_number().over(Window.partitionBy(*key_list).orderBy(F.col("amplitude").desc(), F.col("k")))
-    return freq.withColumn("rank", rank).filter(F.col("rank") <= top_k)
+    return arrays.select(*key_list, "values").mapInPandas(
+        run, key_schema + ", k bigint, re double, im double, amplitude double, rank int"
+    )
