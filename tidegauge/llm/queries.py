@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import benchmark, binary, language, packing, pii, sharding, topk, urls
+from tidegauge.llm import benchmark, binary, jaccard, language, packing, pii, sharding, topk, urls
 from tidegauge.llm.common import table
 from tidegauge.llm.vocabularies import BYTE_BPE, WORD_BPE
 
@@ -38,6 +38,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
 
+@query("op2_ngram_jaccard_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"), jaccard.Similarity(words=4, percent=85)).drop("text_key")
+
+
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, SEQUENCE_IDS)
