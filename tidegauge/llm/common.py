@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,16 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of `df` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of every text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -39,3 +50,24 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches that have rows."""
     return (b for b in batches if b.num_rows)
+
+
+KEYS_BROADCAST = 1 << 20  # keys sent to every task; beyond, a join
+
+
+def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose `key`, a long, `wanted` has: few keys go to the tasks that read the rows, many are joined."""
+    few = wanted.select(key).distinct()
+    if few.count() > KEYS_BROADCAST:
+        return rows.join(few, key, "left_semi")
+    keys = np.sort(few.toArrow().column(key).to_numpy())
+    shared = rows.sparkSession.sparkContext.broadcast(keys)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = shared.value
+        for batch in tables(batches):
+            own = batch.column(key).to_numpy()
+            at = np.searchsorted(keys, own)
+            yield batch.filter(pa.array(keys[np.minimum(at, len(keys) - 1)] == own if len(keys) else own != own))
+
+    return rows.mapInArrow(keep, rows.schema)

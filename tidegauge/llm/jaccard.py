@@ -22,12 +22,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidegauge.llm.common import prepare, tables, utf8, written
+from tidegauge.llm.common import among, prepare, tables, unused, utf8, written
 from tidegauge.llm.components import components
 from tidegauge.llm.shingles import shingle_set
 
 BUCKETS = 1 << 16  # of the frequency table, whatever the size of the corpus
-KEYS_BROADCAST = 1 << 20  # keys of texts to look up that are sent to every task; beyond, a join
 
 
 @dataclass(frozen=True)
@@ -137,23 +136,10 @@ def _lists(rows: DataFrame, rule: Similarity) -> DataFrame:
 
 
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """`class, text` of the wanted classes, from one document of each.
-
-    Few keys are sent to the tasks that read the documents; many are joined.
-    """
+    """`class, text` of the wanted classes, from one document of each."""
     keys = wanted.join(classes, "class").select("class", "key_id", "text_key")
     rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key_id"), F.xxhash64("text").alias("text_key"), "text")
-    if keys.count() <= KEYS_BROADCAST:
-        few = np.unique(keys.select("text_key").toArrow().column("text_key").to_numpy())
-        shared = docs.sparkSession.sparkContext.broadcast(few)
-
-        def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in tables(batches):
-                own = batch.column("text_key").to_numpy()
-                at = np.minimum(np.searchsorted(shared.value, own), max(0, len(shared.value) - 1))
-                yield batch.filter(pa.array(shared.value[at] == own if len(shared.value) else np.zeros(len(own), bool)))
-
-        rows = rows.mapInArrow(among, "key_id long, text_key long, text string")
+    rows = among(rows, keys, "text_key")
     # Rows equal in id and text hash stand for the same class once.
     return written(docs.sparkSession, rows.join(keys, ["key_id", "text_key"]).dropDuplicates(["class"]).select(
         "class", "text"), "texts")
@@ -190,7 +176,7 @@ def _rest(members: DataFrame, lists: DataFrame, tried: DataFrame, root: DataFram
     x = rows.select("list", *(F.col(c).alias(f"x_{c}") for c in ("pos", "class", "n", "root")))
     y = rows.select("list", *(F.col(c).alias(f"y_{c}") for c in ("pos", "class", "n", "root")))
     # At most this many shingles are shared if the one at hand is the first in common.
-    most = 1 + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) - 1
+    most = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
     pairs = x.join(y, "list").where(
         (F.col("x_class") < F.col("y_class")) & (F.col("x_root") != F.col("y_root"))
         & (100 * F.least("x_n", "y_n") >= rule.percent * F.greatest("x_n", "y_n"))
@@ -263,11 +249,12 @@ def keep_one(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
     comp = F.coalesce(F.col("component_id"), F.col("text_key"))
     best = found.groupBy(comp.alias("g"), F.col("component_id").isNull().alias("nameless")).agg(
         F.min(F.struct(key.alias("k"), "text_key")).alias("one")).select("one.*")
-    kept = best.select(F.col("k").alias("__k"), F.col("text_key").alias("__t")).distinct()
-    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    own = docs.withColumns({"__id": key, "__h": F.xxhash64("text"), "__wordless": wordless})
-    with_words = own.where("not __wordless").join(
-        kept, (F.col("__id") == F.col("__k")) & (F.col("__h") == F.col("__t")), "left_semi")
-    turn = Window.partitionBy("__id", "__h").orderBy("__h")
-    once = with_words.withColumn("__turn", F.row_number().over(turn)).where("__turn = 1")
-    return once.select(*docs.columns).unionByName(own.where("__wordless").select(*docs.columns))
+    id_, hash_, wordless, turn, best_id, best_hash = unused(docs, "id", "hash", "wordless", "turn", "best_id", "best_hash")
+    kept = best.select(F.col("k").alias(best_id), F.col("text_key").alias(best_hash)).distinct()
+    no_word = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    own = docs.withColumns({id_: key, hash_: F.xxhash64("text"), wordless: no_word})
+    with_words = own.where(~F.col(wordless)).join(
+        kept, (F.col(id_) == F.col(best_id)) & (F.col(hash_) == F.col(best_hash)), "left_semi")
+    same = Window.partitionBy(id_, hash_).orderBy(hash_)
+    once = with_words.withColumn(turn, F.row_number().over(same)).where(F.col(turn) == 1)
+    return once.select(*docs.columns).unionByName(own.where(F.col(wordless)).select(*docs.columns))

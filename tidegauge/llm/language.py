@@ -170,6 +170,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return kept.mapInArrow(label, schema)
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs`, all columns kept, whose text the model does not reject."""
+    prepare(docs.sparkSession)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in tables(batches):
+            rejected = model.predict(batch.column("text").to_pylist())[2]
+            yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows no language is learnt from: crc32 of the id as text leaves remainder 2 by 4. A null id is not held out."""
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))

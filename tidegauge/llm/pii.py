@@ -20,7 +20,7 @@ from itertools import islice
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.common import prepare, tables, written
+from tidegauge.llm.common import prepare, tables, unused, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -239,15 +239,16 @@ def sanitise(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
     """
     prepare(docs.sparkSession)
     found = find(docs, rule.reach)
+    row, id_, own = unused(docs, "row", "id", "terms")
     terms = term_spans(found, disclosing(docs, found, rule)).select(
-        F.col("row").alias("__row"), F.col("doc_id").alias("__id"), F.col("terms").alias("__terms"))
-    both = docs.join(terms, (row_key() == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+        F.col("row").alias(row), F.col("doc_id").alias(id_), F.col("terms").alias(own))
+    both = docs.join(terms, (row_key() == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tables(batches):
-            texts = zip(batch.column("text").to_pylist(), batch.column("__terms").to_pylist())
+            texts = zip(batch.column("text").to_pylist(), batch.column(own).to_pylist())
             new = pa.array([None if t is None else _rewrite(t, terms, rule) for t, terms in texts], pa.string())
-            keep = [n for n in batch.schema.names if n != "__terms"]
+            keep = [n for n in batch.schema.names if n != own]
             yield pa.record_batch([new if n == "text" else batch.column(n) for n in keep], names=keep)
 
-    return both.select(*docs.columns, "__terms").mapInArrow(rewrite, docs.schema)
+    return both.select(*docs.columns, own).mapInArrow(rewrite, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import benchmark, binary, jaccard, language, packing, pii, sharding, topk, urls
+from tidegauge.llm import benchmark, binary, jaccard, language, packing, pii, sharding, substrings, topk, urls
 from tidegauge.llm.common import table
 from tidegauge.llm.vocabularies import BYTE_BPE, WORD_BPE
 
@@ -43,6 +43,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"), jaccard.Similarity(words=4, percent=85)).drop("text_key")
 
 
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove(table(spark, sf_dir, "documents"), substrings.Repeats(window=20), digest=True)
+    return found.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, SEQUENCE_IDS)
