@@ -56,21 +56,20 @@ class PieceEncoder:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in encoded]
 
-    def _word(self, text: str) -> bytes | None:
-        """Ids of a word of letters, which both splits keep in one part, from the merges alone; else null."""
+    def _letters(self, text: str) -> str | None:
+        """A word of letters as the merges see it, which both splits keep in one part; else null."""
         if not text.isalpha():
             return None
         if self.kind == "drops":
             if text.isascii():
-                text = text.lower()
-            else:
-                text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-                if not text.isalpha():
-                    return None
-        if not text.isascii():
-            text = text.encode().decode("latin-1").translate(BYTE_LETTERS)
-        tokens = self.tokenizer.model.tokenize(self.lead + text)
-        return array("I", [t.id for t in tokens]).tobytes()
+                return text.lower()
+            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+            if not text.isalpha():
+                return None
+        return text if text.isascii() else text.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+    def _word(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(self.lead + letters)]).tobytes()
 
     def _mark(self, run: str) -> bytes:
         if run not in self.marks:
@@ -88,10 +87,11 @@ class PieceEncoder:
                 known[p] = None  # a cut inside white space
                 continue
             stem = p.rstrip(MARKS)
-            ids = known.get(stem) or self._word(stem)
-            if ids is None:
+            letters = self._letters(stem)
+            if letters is None:
                 plain.append(p)
             else:
+                ids = known.get(stem) or self._word(letters)
                 known[stem] = ids
                 if stem != p:
                     known[p] = ids + self._mark(p[len(stem):])

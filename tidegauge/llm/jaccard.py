@@ -6,9 +6,10 @@
    equal size are one group, and only groups are indexed: group pairs come from the lists of their prefix shingles
    and must pass the size and position filters.
 3. Groups are expanded and their members verified on whole sets. In a list and in a group everything is first
-   compared with one leader, which is linear in their size; links found so far make components. Then every remaining
+   compared with a leader, which is linear in their size; links found so far make components. Then every remaining
    pair of a list or group whose members lie in different components is verified. A pair inside one component needs
-   no verification, as its link would change nothing; so no link between components is lost and a group of copies of
+   no verification, as its link would change nothing, nor does one whose sketches differ in more bits than linked sets
+   have different shingles; so no link between components is lost and a group of copies of
    any size never becomes all its pairs.
 """
 
@@ -20,13 +21,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegauge.llm.common import among, prepare, tables, unused, utf8, written
 from tidegauge.llm.components import components
 from tidegauge.llm.shingles import shingle_set
 
-BUCKETS = 1 << 16  # of the frequency table, whatever the size of the corpus
+BUCKETS = 1 << 20  # of the frequency table, whatever the size of the corpus
+STRIP = 1 << 12  # buckets that travel as one row
+SKETCH = 8  # longs of a set's sketch: one bit per bucket of shingles, set if it has an odd number of them
+LEADERS = 4  # of a list, and orders in which they are taken
 
 
 @dataclass(frozen=True)
@@ -52,16 +57,26 @@ def _frequencies(docs: DataFrame, rule: Similarity) -> np.ndarray:
         for batch in tables(batches):
             sets = [shingle_set(t, rule.words) for t in utf8(batch.column("text"))]
             total += np.bincount((np.concatenate(sets) % BUCKETS).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.record_batch({"bucket": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+        strips = [(i, strip.tobytes()) for i, strip in enumerate(total.reshape(-1, STRIP)) if strip.any()]
+        yield pa.record_batch({"strip": pa.array([i for i, _ in strips], pa.int32()),
+                               "counts": pa.array([c for _, c in strips], pa.binary())})
 
-    sums = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got, out = sums.toArrow(), np.zeros(BUCKETS, np.int64)  # at most BUCKETS rows
-    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in tables(batches):
+            for i, counts in zip(batch.column("strip").to_pylist(), batch.column("counts").to_pylist()):
+                total[i] = total.get(i, 0) + np.frombuffer(counts, np.int64)
+        yield pa.record_batch({"strip": pa.array(total.keys(), pa.int32()),
+                               "counts": pa.array([c.tobytes() for c in total.values()], pa.binary())})
+
+    strips = docs.select("text").mapInArrow(count, "strip int, counts binary").repartition("strip")
+    out = np.zeros((BUCKETS // STRIP, STRIP), np.int64)
+    for row in strips.mapInArrow(add, "strip int, counts binary").collect():  # the table, BUCKETS numbers
+        out[row["strip"]] = np.frombuffer(row["counts"], np.int64)
+    return out.reshape(-1)
 
 
-SIGNED = "doc_id long, text_key long, n int, class binary, grp binary, prefix array<long>"
+SIGNED = "doc_id long, text_key long, n int, class binary, grp long, prefix array<long>, sketch array<long>"
 
 
 def _sign(docs: DataFrame, rule: Similarity) -> DataFrame:
@@ -71,7 +86,7 @@ def _sign(docs: DataFrame, rule: Similarity) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         for batch in tables(batches):
-            n, classes, groups, prefixes = [], [], [], []
+            n, classes, groups, prefixes, sketches = [], [], [], [], []
             for text in utf8(batch.column("text")):
                 own = shingle_set(text, rule.words)
                 n.append(len(own))
@@ -79,74 +94,104 @@ def _sign(docs: DataFrame, rule: Similarity) -> DataFrame:
                     classes.append(None)
                     groups.append(None)
                     prefixes.append(None)
+                    sketches.append(None)
                     continue
                 order = np.lexsort((own, common[(own % BUCKETS).astype(np.int64)]))
                 prefix = own[order[:rule.prefix(len(own))]]
                 classes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                groups.append(hashlib.blake2b(prefix.tobytes() + len(own).to_bytes(8, "little"), digest_size=16).digest())
+                # Should two groups ever share a number, they are compared as one: nothing is lost.
+                groups.append(xxhash.xxh3_64_intdigest(prefix.tobytes(), len(own)) - (1 << 63))
                 prefixes.append(prefix.view(np.int64))
+                odd = np.bincount((own >> np.uint64(32)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+                sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             yield pa.record_batch(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int32()), pa.array(classes, pa.binary()),
-                 pa.array(groups, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                 pa.array(groups, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())),
+                 pa.array(sketches, pa.list_(pa.int64()))],
                 names=[f.split()[0] for f in SIGNED.split(", ")])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     return written(docs.sparkSession, rows.mapInArrow(sign, SIGNED), "signed")
 
 
-LISTED = "token long, n int, grp binary, pos int, leader binary"
+SPREAD = "token long, n int, grp long, pos int"
+LISTED = "token long, n int, grp long, pos int, leader long"
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per prefix shingle of every group; a group that is met again in the batch is left out."""
+    for batch in tables(batches):
+        groups, first = np.unique(batch.column("grp").to_numpy(), return_index=True)
+        part = batch.take(pa.array(first))
+        prefix = part.column("prefix")
+        size = np.diff(prefix.offsets.to_numpy())
+        ends = np.cumsum(size)
+        yield pa.record_batch([
+            prefix.flatten(), pa.array(np.repeat(part.column("n").to_numpy(), size)), pa.array(np.repeat(groups, size)),
+            pa.array((np.arange(size.sum()) - np.repeat(ends - size, size)).astype(np.int32)),
+        ], names=[f.split()[0] for f in SPREAD.split(", ")])
 
 
 def _lists(rows: DataFrame, rule: Similarity) -> DataFrame:
     """Rows `(token, n, grp, pos)` of every token that several groups have, each with its leader.
 
-    Rows come sorted by token and size, so a task holds one leader. It leads as long as sizes allow a link.
+    Rows of a token come in an order that depends on the group alone and on the token's last bits, so a task holds
+    few leaders, and a group of near copies meets the same few ones in all its lists. A row's leader is the first with
+    which the sizes and the places of the token leave room for enough shared shingles; a row without any becomes one.
     """
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, leader, lead_n, first, last = None, None, 0, None, None
+        current, leaders, first, last = None, [], None, None
         for batch in tables(batches):
             token = batch.column("token").to_numpy()
             same = token[1:] == token[:-1]
             near = np.ones(len(token), bool)
             near[1:-1] = same[1:] | same[:-1]
-            at = np.flatnonzero(near)
-            part = batch.take(pa.array(at))
+            part = batch.filter(pa.array(near))
             out = []
-            for t, n, g, p in zip(token[at].tolist(), *(part.column(c).to_pylist() for c in ("n", "grp", "pos"))):
+            for t, n, g, p in zip(*(c.to_pylist() for c in part.columns)):
                 if t != current:
-                    current, leader, lead_n, first, last = t, g, n, (t, n, g, p, g), g
+                    current, leaders, first, last = t, [(g, n, p)], (t, n, g, p, None), g
                     continue
                 if g == last:
                     continue
                 if first is not None:
                     out.append(first)
                     first = None
-                if 100 * lead_n < rule.percent * n:
-                    leader, lead_n = g, n
+                leader = next((x for x, m, q in leaders if 100 * min(n, m) >= rule.percent * max(n, m)
+                               and (100 + rule.percent) * min(n - p, m - q) >= rule.percent * (n + m)), None)
+                if leader is None and len(leaders) < LEADERS:
+                    leaders.append((g, n, p))
                 out.append((t, n, g, p, leader))
                 last = g
             if out:
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
                                       names=[f.split()[0] for f in LISTED.split(", ")])
 
-    ordered = rows.repartition("token").sortWithinPartitions("token", "n", "grp")
+    order = F.xxhash64("grp", F.pmod("token", F.lit(LEADERS)))
+    ordered = rows.repartition("token").sortWithinPartitions("token", order, "grp")
     return written(rows.sparkSession, ordered.select("token", "n", "grp", "pos").mapInArrow(lead, LISTED), "lists")
 
 
+def _close(x: str, y: str, rule: Similarity) -> F.Column:
+    """Whether two sketches allow a link: a bit in which they differ is a shingle that only one of the sets has."""
+    bits = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH)]
+    return (100 + rule.percent) * sum(bits[1:], bits[0]) <= (100 - rule.percent) * (F.col("x_n") + F.col("y_n"))
+
+
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """`class, text` of the wanted classes, from one document of each."""
     keys = wanted.join(classes, "class").select("class", "key_id", "text_key")
     rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key_id"), F.xxhash64("text").alias("text_key"), "text")
-    rows = among(rows, keys, "text_key")
     # Rows equal in id and text hash stand for the same class once.
-    return written(docs.sparkSession, rows.join(keys, ["key_id", "text_key"]).dropDuplicates(["class"]).select(
-        "class", "text"), "texts")
+    rows = among(rows, keys, "text_key").dropDuplicates(["key_id", "text_key"])
+    return written(docs.sparkSession, rows.join(keys, ["key_id", "text_key"]).select("class", "text"), "texts")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, rule: Similarity) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Similarity) -> DataFrame:
     """The pairs `(a, b)` whose sets link, by their whole texts."""
+    texts = _texts(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -161,26 +206,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, rule: Similarity) -> DataFrame
     left = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return written(texts.sparkSession, both.mapInArrow(verify, "a binary, b binary"), "verified")
+    return written(docs.sparkSession, both.mapInArrow(verify, "a binary, b binary"), "verified")
 
 
 def _rest(members: DataFrame, lists: DataFrame, tried: DataFrame, root: DataFrame, rule: Similarity) -> DataFrame:
     """Pairs of a list or a group whose classes lie in different components and that were not tried yet."""
-    of = members.join(root, "class", "left").select("class", "grp", "n", F.coalesce("root", "class").alias("root"))
+    of = members.join(root, "class", "left").select("class", "grp", "n", "sketch", F.coalesce("root", "class").alias("root"))
     # A group is one list more: equal prefixes share every position, so only the component tells its pairs apart.
-    inside = of.select(F.col("grp").alias("list"), F.lit(0).alias("pos"), "class", "n", "root")
-    rows = lists.select(F.col("token").cast("string").cast("binary").alias("list"), "pos", "grp").join(
-        of, "grp").select("list", "pos", "class", "n", "root").unionByName(inside)
-    mixed = rows.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rows = written(members.sparkSession, rows.join(mixed.select("list"), "list", "left_semi"), "mixed-lists")
-    x = rows.select("list", *(F.col(c).alias(f"x_{c}") for c in ("pos", "class", "n", "root")))
-    y = rows.select("list", *(F.col(c).alias(f"y_{c}") for c in ("pos", "class", "n", "root")))
+    inside = of.select(F.col("grp").alias("list"), F.lit(True).alias("own"), F.lit(0).alias("pos"), "class", "n", "sketch", "root")
+    rows = lists.select(F.col("token").alias("list"), F.lit(False).alias("own"), "pos", "grp").join(
+        of, "grp").select("list", "own", "pos", "class", "n", "sketch", "root").unionByName(inside)
+    mixed = rows.groupBy("list", "own").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    rows = written(members.sparkSession, rows.join(mixed.select("list", "own"), ["list", "own"], "left_semi"), "mixed-lists")
+    x = rows.select("list", "own", *(F.col(c).alias(f"x_{c}") for c in ("pos", "class", "n", "sketch", "root")))
+    y = rows.select("list", "own", *(F.col(c).alias(f"y_{c}") for c in ("pos", "class", "n", "sketch", "root")))
     # At most this many shingles are shared if the one at hand is the first in common.
     most = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
-    pairs = x.join(y, "list").where(
+    pairs = x.join(y, ["list", "own"]).where(
         (F.col("x_class") < F.col("y_class")) & (F.col("x_root") != F.col("y_root"))
         & (100 * F.least("x_n", "y_n") >= rule.percent * F.greatest("x_n", "y_n"))
         & ((100 + rule.percent) * most >= rule.percent * (F.col("x_n") + F.col("y_n")))
+        & _close("x_sketch", "y_sketch", rule)
     )
     return pairs.select(F.col("x_class").alias("a"), F.col("y_class").alias("b")).distinct().join(
         tried, ["a", "b"], "left_anti")
@@ -200,32 +246,29 @@ def link(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
     some = signed.where(F.col("class").isNotNull())
     classes = written(spark, some.groupBy("class").agg(
         F.min("doc_id").alias("least_id"), F.min("n").alias("n"), F.min("grp").alias("grp"),
-        F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key_id"), "text_key")).alias("key"),
-    ).select("class", "least_id", "n", "grp", "key.*"), "classes")
+        F.min("sketch").alias("sketch"), F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key_id"), "text_key")).alias("key"),
+    ).select("class", "least_id", "n", "grp", "sketch", "key.*"), "classes")
 
-    one = classes.select(F.col("class").alias("c"), F.col("key_id").alias("k"), F.col("text_key").alias("t"))
-    prefixes = some.join(one, (F.col("class") == F.col("c")) & (F.col("text_key") == F.col("t")) & (
-        F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("k")), "left_semi")
-    lists = _lists(prefixes.select("n", "grp", F.posexplode("prefix").alias("pos", "token")), rule)
+    lists = _lists(some.select("n", "grp", "prefix").mapInArrow(_spread, SPREAD), rule)
 
-    # Leaders: of a list the smallest group, of a group its smallest class.
+    # A group's own leader is its smallest class.
     heads = classes.groupBy("grp").agg(F.min("class").alias("head"))
     members = classes.select("class", "grp", "n").join(heads, "grp")
     in_group = members.where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b"))
     of_lists = (
-        lists.where("grp <> leader").select("leader", "grp").distinct()
+        lists.where("leader IS NOT NULL").select("leader", "grp").distinct()
         .join(heads.select(F.col("grp").alias("leader"), F.col("head").alias("a")), "leader")
         .join(heads.select("grp", F.col("head").alias("b")), "grp").select("a", "b")
     )
-    stars = written(spark, in_group.union(of_lists).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
-    listed = lists.select("grp").distinct().join(members.select("grp", "class"), "grp").select("class").union(
-        members.where("class <> head").select(F.explode(F.array("class", "head")))).distinct()
-    texts = _texts(docs, classes, listed)
-    links = _verified(stars, texts, rule)
+    stars = in_group.union(of_lists).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = (classes.select(F.col("class").alias(c), F.col("n").alias(f"{p}_n"), F.col("sketch").alias(f"{p}_sketch"))
+            for c, p in (("a", "x"), ("b", "y")))
+    stars = written(spark, stars.join(x, "a").join(y, "b").where(_close("x_sketch", "y_sketch", rule)).select("a", "b"),
+                    "stars")
+    links = _verified(stars, docs, classes, rule)
     root = components(links).select(F.col("node").alias("class"), "root")
-    rest = written(spark, _rest(members.select("class", "grp", "n"), lists, stars, root, rule), "rest")
-    more = _verified(rest, texts, rule)
+    rest = written(spark, _rest(classes.select("class", "grp", "n", "sketch"), lists, stars, root, rule), "rest")
+    more = _verified(rest, docs, classes, rule)
     if more.take(1):
         root = components(links.union(more)).select(F.col("node").alias("class"), "root")
 

@@ -151,21 +151,35 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[Counter, int]]:
     return [c for classes in by_gap for c in classes]
 
 
+SCALES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)
+
+
+def rounded(program: list[tuple[Counter, float]], counts: np.ndarray, size: int, scale: float):
+    """Whole multiples of the program's configurations, `scale` times their use, and best fit for what is left."""
+    left, classes = counts.copy(), []
+    for content, use in program:
+        copies = int(scale * use)
+        if copies:
+            classes.append((content, copies))
+            for length, n in content.items():
+                left[length] -= copies * n
+    return classes + best_fit(left, size)
+
+
 def make_plan(counts: np.ndarray, size: int, rate: float = 0.5, step: float = 0.25, rounds: int = 40,
               draws: int = 256, rest: float = 0.1) -> Plan:
-    """Places for `counts[l]` pieces of every length l up to `size`: the program, rounded down, then best fit."""
+    """Places for `counts[l]` pieces of every length l up to `size`: the program, rounded down.
+
+    Rounding leaves scarce lengths that fit together badly; the more of the program is kept, the fewer other pieces
+    are left to go with them. Of several scales the one with the fewest sequences is taken.
+    """
     left = counts.astype(np.int64).copy()
-    classes: list[tuple[Counter, int]] = []
-    if left[size]:
-        classes.append((Counter({size: 1}), int(left[size])))
-        left[size] = 0
+    full, left[size] = int(left[size]), 0
+    classes: list[tuple[Counter, int]] = [(Counter({size: 1}), full)] if full else []
     if left.sum():
-        for content, use in fractional(left, size, rate, step, rounds, draws, rest):
-            if int(use):
-                classes.append((content, int(use)))
-                for length, n in content.items():
-                    left[length] -= int(use) * n
-        classes += best_fit(left, size)
+        program = fractional(left, size, rate, step, rounds, draws, rest)
+        tries = [rounded(program, left, size, scale) for scale in SCALES]
+        classes += min(tries, key=lambda c: sum(copies for _, copies in c))
     rows, used, sequences = [], np.zeros(size + 1, np.int64), 0
     for content, copies in classes:
         offset = 0
