@@ -151,7 +151,7 @@ def best_fit(counts: np.ndarray, size: int) -> list[tuple[Counter, int]]:
     return [c for classes in by_gap for c in classes]
 
 
-SCALES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)
+SCALES = (1.0, 0.9, 0.75, 0.5, 0.25)
 
 
 def rounded(program: list[tuple[Counter, float]], counts: np.ndarray, size: int, scale: float):
