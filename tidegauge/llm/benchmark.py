@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -79,6 +80,7 @@ class Index:
             for w, x in weight.items():
                 self.postings[self.term[w]].append((at, x / total))
                 self.bound[self.term[w], at // GROUP] = max(self.bound[self.term[w], at // GROUP], x / total)
+        self.top = self.bound.max(axis=1).tolist()
         self.parts = [tuple(sequences(p, rule.n) for p in parts_of(t)) for _, t in items]
 
     def may_match(self, terms: np.ndarray) -> np.ndarray:
@@ -89,38 +91,40 @@ class Index:
         """Block-max WAND: `(item, score)` of every item that reaches the threshold, for distinct known terms.
 
         Lists advance by item. The pivot is the first item at which the lists' overall maxima could reach the
-        threshold; if the maxima of its group cannot, all lists skip the group, else the item is scored.
+        threshold; if the maxima of its group cannot, all lists skip to the next group whose maxima can, else the
+        item is scored.
         """
         least = self.rule.score - 1e-9
-        lists = [(self.postings[t], float(self.bound[t].max()), self.bound[t]) for t in terms]
+        groups = self.may_match(np.array(terms, np.int32)).tolist() if len(terms) else []
+        lists = [self.postings[t] for t in terms]
+        tops = [self.top[t] for t in terms]
         at = [0] * len(lists)
-        found = []
-        while True:
-            live = sorted((p[a][0], i) for i, ((p, _, _), a) in enumerate(zip(lists, at)) if a < len(p))
+        found, here, goal = [], range(len(lists)), groups[0] * GROUP if groups else 0
+        while groups:
+            for i in here:
+                at[i] = bisect_left(lists[i], (goal,), at[i])
+            live = sorted((own[a][0], i) for i, (own, a) in enumerate(zip(lists, at)) if a < len(own))
             upper, pivot = 0.0, None
             for item, i in live:
-                upper += lists[i][1]
-                if upper >= least - 1e-6:
+                upper += tops[i]
+                if upper >= least - 1e-4:
                     pivot = item
                     break
             if pivot is None:
-                return found
-            group = pivot // GROUP
+                break
+            near = bisect_left(groups, pivot // GROUP)
+            if near == len(groups):
+                break
             here = [i for item, i in live if item <= pivot]
-            if sum(float(lists[i][2][group]) for _, i in live) < least - 1e-4:
-                goal = (group + 1) * GROUP
-            else:
-                goal = pivot
+            goal = max(pivot, groups[near] * GROUP)
             if goal == pivot and live[0][0] == pivot:
-                on = [i for item, i in live if item == pivot]
-                score = sum(lists[i][0][at[i]][1] for i in on)
+                score = sum(lists[i][at[i]][1] for i in here)
                 if score >= least:
                     found.append((pivot, score))
-                here, goal = on, pivot + 1
-            for i in here:
-                own = lists[i][0]
-                while at[i] < len(own) and own[at[i]][0] < goal:
-                    at[i] += 1
+                goal = pivot + 1
+            elif goal > pivot:
+                here = [i for item, i in live if item < goal]
+        return found
 
     def verify(self, item: int, passage: Sequence[str]) -> tuple[float, float]:
         """Shares of the item's question and answer sequences that the passage has; an empty part counts as found."""
