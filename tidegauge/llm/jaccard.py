@@ -182,7 +182,7 @@ def _close(x: str, y: str, rule: Similarity) -> F.Column:
 
 def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """`class, text` of the wanted classes, from one document of each."""
-    keys = wanted.join(classes, "class").select("class", "key_id", "text_key")
+    keys = written(docs.sparkSession, wanted.join(classes, "class").select("class", "key_id", "text_key"), "keys")
     rows = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key_id"), F.xxhash64("text").alias("text_key"), "text")
     # Rows equal in id and text hash stand for the same class once.
     rows = among(rows, keys, "text_key").dropDuplicates(["key_id", "text_key"])
@@ -191,7 +191,8 @@ def _texts(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Similarity) -> DataFrame:
     """The pairs `(a, b)` whose sets link, by their whole texts."""
-    texts = _texts(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    either = pairs.select(F.col("a").alias("class")).distinct().union(pairs.select("b").distinct()).distinct()
+    texts = _texts(docs, classes, either)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
