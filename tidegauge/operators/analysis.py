@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidegauge.functions import (
     canonical_key, components_of, lost_percent, worse_by_percent,
 )
+from tidegauge.functions.scalars import nan_to_null
 from tidegauge.operators.ordered import magnitude_chunk, with_running_sum
 from tidegauge.operators.select import latest_run
 
@@ -108,18 +109,20 @@ def ensemble_pairs(runs: DataFrame, metrics: Sequence[str], group: Sequence[str]
     single = runs.filter(~is_ensemble).groupBy(*group, F.col("model").alias("model_individual")).agg(first.alias("_f"))
     single = single.select(*group, "model_individual", *[F.col(f"_f.{m}").alias(m) for m in metrics])
     right = long(single, [*group, "model_individual"]).withColumnRenamed("value", "val_individual")
-    return left.join(right, [*group, "model_individual", "metric"]).filter(
-        F.col("val_ensemble").isNotNull() & F.col("val_individual").isNotNull()
-    )
+    both = nan_to_null("val_ensemble").isNotNull() & nan_to_null("val_individual").isNotNull()
+    return left.join(right, [*group, "model_individual", "metric"]).filter(both)
 
 
 def signed_ranks(pairs: DataFrame, group: Sequence[str], a: str, b: str, min_n: int = 3) -> DataFrame:
     """Wilcoxon signed-rank statistic of `a - b` per group: zeros dropped, ties get their average rank.
 
+    Pairs with a missing value, null or NaN, are skipped.
+
     Equal differences are counted first, so ranks come from running counts over distinct differences,
     cut into value ranges; a large group is never sorted in one task.
     """
     keys = list(group)
+    pairs = pairs.filter(nan_to_null(a).isNotNull() & nan_to_null(b).isNotNull())
     d = F.col(a) - F.col(b)
     sums = pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_samples"), F.avg(a).alias(f"mean_{a}"), F.avg(b).alias(f"mean_{b}"),

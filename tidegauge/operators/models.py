@@ -193,7 +193,7 @@ def run_model(fns: dict[str, Model], name: str, values, horizon: int, step_s: in
         out = np.asarray(fns[name](y, horizon, step_s, dict(params or {})), dtype=float)
         return out, "ok"
     except Exception as exc:  # noqa: BLE001
-        return None, f"failed: {exc}"[:200]
+        return None, f"failed: {exc}"
 
 
 def spread(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -150,5 +150,5 @@ def online_forecast(spark, folder):
 
 @query("tune_grid")
 def tune_grid(spark, folder):
-    trials = select.trial_grid(["FFT", "ExponentialSmoothing", "Prophet"], n_trials=10)
+    trials = select.trial_grid(["FFT", "ExponentialSmoothing", "Prophet"], n_trials=30)
     return select.tune(arrays(spark, folder), trials, HOUR)
