@@ -233,3 +233,24 @@ def test_online_choice_is_sticky(spark):
     arrays = ops.series_arrays(frame(spark, {"s": y}))
     row = select.ensemble_select_online(arrays.withColumn("now", F.lit("LastValue")), COMPONENTS, 24, HOUR, current="now").first()
     assert row.previous_model == "LastValue" and row.model == "SeasonalNaive"
+
+
+def test_multiplicative_smoothing():
+    t = np.arange(240)
+    y = (100 + t) * (1 + 0.4 * np.sin(2 * np.pi * t / 24))
+    season = {"seasonal": "multiplicative", "seasonal_periods": "24"}
+    both = models.holt_winters(y[:216], 24, HOUR, {"trend": "additive", **season})
+    plain = models.holt_winters(y[:216], 24, HOUR, {"trend": "additive", "seasonal": "additive", "seasonal_periods": "24"})
+    assert np.abs(both - y[216:]).max() < 0.05 * y.max() and not np.allclose(both, plain)
+    grown = 3.0 * 1.02 ** np.arange(80)
+    # The recursion starts on the first value, so its first step misses by one growth.
+    assert np.allclose(models.holt_winters(grown[:70], 10, HOUR, {"trend": "multiplicative"}), grown[70:], rtol=1e-3)
+    with pytest.raises(ValueError, match="positive"):
+        models.holt_winters(y - 200, 3, HOUR, {"trend": "multiplicative"})
+
+
+def test_unknown_choices_are_errors():
+    for fn, params in ((models.spectral, {"trend": "exp"}), (models.holt_winters, {"trend": "exp"}),
+                       (models.holt_winters, {"seasonal": "weekly"})):
+        with pytest.raises(ValueError, match="must be none or one of"):
+            fn(daily(100), 3, HOUR, params)

@@ -158,3 +158,5 @@ def test_label_filter(spark):
     rows = [({"scope": "run-a"}, 1.0), ({"scope": "other"}, 2.0), ({"x": "y"}, 3.0)]
     df = spark.createDataFrame(rows, "labels map<string,string>, value double")
     assert [r.value for r in samples.keep_label(df, "scope", "^(run-.*|)$").orderBy("value").collect()] == [1.0, 3.0]
+    both = samples.keep_label(df, "scope", "^run-", add={"scope": "all", "node": "n"}).first()
+    assert both.labels == {"scope": "all", "node": "n"}

@@ -161,3 +161,11 @@ def test_split_meta_and_missing(spark):
     assert np.isclose(m.train_std, np.std(np.arange(7), ddof=1))
     r = ops.missing_report(hourly(spark, [(0, 1), (1, None), (2, float("nan"))]), ["series_id"], "y").first()
     assert (r.n_missing, r.n_rows, r.has_missing) == (2, 3, True)
+
+
+@pytest.mark.parametrize("app,metric", [("Z", "CPU"), (None, "RAM"), ("A", "DISK"), ("A", None)])
+def test_unknown_usage_is_an_error(spark, app, metric):
+    df = spark.createDataFrame([(app, metric, "A1", T0, 1.0)],
+                               "app string, metric string, instance string, ts timestamp, value double")
+    with pytest.raises(Exception, match="unknown"):
+        ops.to_usage(df, catalog.capacity(spark)).collect()

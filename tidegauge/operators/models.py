@@ -41,6 +41,16 @@ def _none(value) -> bool:
     return value is None or str(value).lower() in ("none", "null", "")
 
 
+def _choice(params: dict, name: str, known: Sequence[str]) -> str | None:
+    """The parameter's value, None where it is switched off; a value that is not known is an error."""
+    value = params.get(name)
+    if _none(value):
+        return None
+    if value not in known:
+        raise ValueError(f"{name} must be none or one of {', '.join(known)}, got {value}")
+    return value
+
+
 def filled(values: np.ndarray) -> np.ndarray:
     """Missing steps by linear interpolation, edges by the nearest known value."""
     known = np.flatnonzero(np.isfinite(values))
@@ -65,7 +75,7 @@ def spectral(y: np.ndarray, horizon: int, step_s: int, params: dict) -> np.ndarr
         raise ValueError("spectral forecast needs at least 4 points")
     t, ahead = np.arange(n), n + np.arange(horizon)
     trend_t, trend_ahead = np.zeros(n), np.zeros(horizon)
-    if not _none(params.get("trend")):
+    if _choice(params, "trend", ("poly",)):
         scale = max(n - 1, 1)
         coef = np.polyfit(t / scale, y, int(params.get("poly_degree", 3)))
         trend_t, trend_ahead = np.polyval(coef, t / scale), np.polyval(coef, ahead / scale)
@@ -77,13 +87,17 @@ def spectral(y: np.ndarray, horizon: int, step_s: int, params: dict) -> np.ndarr
 
 
 def holt_winters(y: np.ndarray, horizon: int, step_s: int, params: dict) -> np.ndarray:
-    """Additive exponential smoothing; the weights are chosen by the one-step error over a grid.
+    """Exponential smoothing, trend and season additive or multiplicative; the weights are chosen by the one-step
+    error over a grid.
 
-    All weight combinations of the grid run through the recursion at once.
+    All weight combinations of the grid run through the recursion at once. Multiplicative parts need positive values.
     """
-    trend = not _none(params.get("trend"))
-    seasonal = not _none(params.get("seasonal"))
-    damped = trend and _flag(params.get("damped", False))
+    kinds = ("additive", "multiplicative")
+    trend, seasonal = _choice(params, "trend", kinds), _choice(params, "seasonal", kinds)
+    grows, scales = trend == "multiplicative", seasonal == "multiplicative"
+    if (grows or scales) and (y <= 0).any():
+        raise ValueError("multiplicative smoothing needs positive values")
+    damped = trend is not None and _flag(params.get("damped", False))
     m = 1
     if seasonal:
         period = params.get("seasonal_periods")
@@ -103,26 +117,34 @@ def holt_winters(y: np.ndarray, horizon: int, step_s: int, params: dict) -> np.n
     g = len(grid)
     if seasonal:
         first, second = y[:m].mean(), y[m: 2 * m].mean()
-        season = np.repeat((y[:m] - first)[:, None], g, axis=1)
-        level, slope = np.full(g, first), np.full(g, (second - first) / m if trend else 0.0)
+        season = np.repeat((y[:m] / first if scales else y[:m] - first)[:, None], g, axis=1)
+        growth = (second / first) ** (1 / m) if grows else (second - first) / m
     else:
-        season = np.zeros((1, g))
-        level, slope = np.full(g, y[0]), np.full(g, y[1] - y[0] if trend else 0.0)
+        first, season = y[0], np.zeros((1, g))
+        growth = y[1] / y[0] if grows else y[1] - y[0]
+    level, slope = np.full(g, first), np.full(g, growth if trend else 0.0)
     sse = np.zeros(g)
-    for t, value in enumerate(y):
-        s = season[t % m]
-        ahead = level + phi * slope
-        miss = value - (ahead + s)
-        sse += miss * miss
-        new = ahead + alpha * miss
-        slope = phi * slope + alpha * beta * miss
-        season[t % m] = s + gamma * (1 - alpha) * miss
-        level = new
+    # A weight combination may leave the range in which powers and quotients exist; it is not chosen then.
+    with np.errstate(all="ignore"):
+        for t, value in enumerate(y):
+            s = season[t % m]
+            ahead = level * slope**phi if grows else level + phi * slope
+            miss = value - (ahead * s if scales else ahead + s)
+            sse += miss * miss
+            step = alpha * (miss / s if scales else miss)
+            new = ahead + step
+            slope = slope**phi + beta * (new / level - slope**phi) if grows else phi * slope + beta * step
+            season[t % m] = s + gamma * (value / new - s if scales else (1 - alpha) * miss)
+            level = new
+    sse[~np.isfinite(sse)] = np.inf
     best = int(np.argmin(sse))
+    if not np.isfinite(sse[best]):
+        raise ValueError("smoothing left the range of its values")
     h = np.arange(1, horizon + 1)
     damp = np.cumsum(phi[best] ** h) if damped else h
-    base = level[best] + damp * slope[best]
-    return base + season[(len(y) + h - 1) % m, best]
+    base = level[best] * slope[best] ** damp if grows else level[best] + damp * slope[best]
+    at_season = season[(len(y) + h - 1) % m, best]
+    return base * at_season if scales else base + at_season
 
 
 def additive_design(t: np.ndarray, step_s: int, scale: float, params: dict) -> tuple[np.ndarray, np.ndarray]:

@@ -18,12 +18,16 @@ HOUR_S = 3600
 
 
 def keep_label(df: DataFrame, label: str, pattern: str, labels: str = "labels", add: dict | None = None) -> DataFrame:
-    """Keeps samples whose label matches; a missing label counts as empty text. Can add constant labels."""
+    """Keeps samples whose label matches; a missing label counts as empty text.
+
+    Can add constant labels; they replace labels of the same name.
+    """
     value = F.coalesce(F.try_element_at(F.col(labels), F.lit(label)), F.lit(""))
     out = df.filter(value.rlike(pattern))
     if add:
         extra = F.create_map(*[F.lit(x) for kv in add.items() for x in kv])
-        out = out.withColumn(labels, F.map_concat(labels, extra))
+        others = F.map_filter(labels, lambda name, _: ~name.isin(list(add)))
+        out = out.withColumn(labels, F.map_concat(others, extra))
     return out
 
 

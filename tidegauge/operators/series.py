@@ -18,13 +18,20 @@ EXPLODE_BLOCK = 10_000
 
 
 def to_usage(df: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Long samples `(app, metric, instance, ts, value)` in cores or GB; null for missing values."""
-    value = F.when(F.col("metric") == "CPU", cpu_cores("value", "cores")).otherwise(
-        ram_gb("value", "ram_already_gb")
+    """Long samples `(app, metric, instance, ts, value)` in cores or GB; null for missing values.
+
+    An app without capacity, or a metric other than CPU and RAM, is an error.
+    """
+    unknown = lambda what: F.raise_error(F.concat(F.lit(f"unknown {what}: "), F.coalesce(what, F.lit("null"))))
+    value = (
+        F.when(F.col("_known").isNull(), unknown("app"))
+        .when(F.col("metric") == "CPU", cpu_cores("value", "cores"))
+        .when(F.col("metric") == "RAM", ram_gb("value", "ram_already_gb"))
+        .otherwise(unknown("metric"))
     )
     return (
         df.withColumn("value", nan_to_null("value"))
-        .join(capacity.select("app", "cores", "ram_already_gb"), "app")
+        .join(capacity.select("app", "cores", "ram_already_gb", F.lit(True).alias("_known")), "app", "left")
         .select("app", "metric", "instance", "ts", value.alias("value"))
     )
 
