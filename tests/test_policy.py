@@ -160,3 +160,37 @@ def test_label_filter(spark):
     assert [r.value for r in samples.keep_label(df, "scope", "^(run-.*|)$").orderBy("value").collect()] == [1.0, 3.0]
     both = samples.keep_label(df, "scope", "^run-", add={"scope": "all", "node": "n"}).first()
     assert both.labels == {"scope": "all", "node": "n"}
+
+
+HOT = """
+from pyspark.sql import functions as F
+from tidegauge.catalog import Policy
+from tidegauge.operators.policy import scale_actions
+from tidegauge.session import get_session
+
+spark = get_session("hot", "local[4]", 8, spark__driver__memory="1g", spark__ui__enabled="false")
+k = F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000
+rows = spark.range(2_000_000).select(
+    F.lit("hot").alias("namespace"), "id", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 10_000).alias("timestamp"),
+    F.lit("combined").alias("scaling_mode"), F.lit(4).alias("current_replicas"), F.lit(1024).alias("current_memory_mb"),
+    k.alias("actual_cpu_cores"), (6 * k).alias("predicted_cpu_cores"), k.alias("actual_ram_gb"), (20 * k).alias("predicted_ram_gb"))
+done = scale_actions(rows, Policy(), order=["timestamp", "id"])
+print("COUNTS", *done.agg(F.count("*"), F.count_if(F.col('action_horizontal') == 'scale_up')).first())
+"""
+
+
+def test_hot_key_in_a_small_heap(spark):
+    """Two million rows of one key, ten milliseconds apart, in a heap of 1 GB."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root}
+    env.pop("PYSPARK_GATEWAY_PORT", None)
+    said = subprocess.run([sys.executable, "-c", HOT], env=env, cwd=root, capture_output=True, text=True, timeout=600)
+    counts = [x for x in said.stdout.splitlines() if x.startswith("COUNTS")]
+    assert counts, said.stderr[-2000:]
+    rows, ups = map(int, counts[0].split()[1:])
+    assert rows == 2_000_000
+    assert 300 <= ups <= 334  # one a minute over 20,000 s, as soon as a candidate comes

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.catalog import Policy
 from tidegauge.operators.ordered import CHUNK, time_chunk
@@ -80,14 +80,16 @@ def route_by_mode(df: DataFrame, mode="scaling_mode") -> DataFrame:
 # ---- cooldown clocks -------------------------------------------------------------------------------
 #
 # A candidate is accepted when the clock's last accepted event is at least the cooldown away (or when it
-# is forced). What a time chunk needs from the past is one number per clock: the time of the last
-# accepted event. So a chunk can be summed up without knowing that number, as a step function
-# "first accepted candidate -> last accepted candidate"; the functions of all chunks of a key compose in
-# order; and then every chunk replays its rows alone. Three parallel passes, no key in one task.
+# is forced). Of the candidates at one instant only the first can open a clock, so the clocks run over
+# distinct instants: these are combined map-side, and no row of the input ever enters an array. What a
+# time chunk needs from the past is one number per clock: the time of the last accepted event. So a chunk
+# can be summed up without knowing that number, as a step function "first accepted instant -> last
+# accepted instant"; the functions of all chunks of a key compose in order; and then every chunk replays
+# its instants alone. The few instants at which a clock opens go back to the rows by key and time.
 
 
 def _next_index(ts: np.ndarray, forced: np.ndarray, cooldown_us: int) -> np.ndarray:
-    """For each candidate: index of the candidate accepted after it (len when none)."""
+    """For each instant: index of the instant accepted after it (len when none)."""
     n = len(ts)
     later = np.searchsorted(ts, ts + cooldown_us, side="left")
     later = np.maximum(later, np.arange(1, n + 1))
@@ -109,16 +111,18 @@ def _entry_exit(ts: np.ndarray, forced: np.ndarray, cooldown_us: int) -> tuple[l
     """Step function of a chunk: entry times with the exit time of the chain that starts there.
 
     Neighbouring entries with the same exit are merged (the last one is kept). The third value is the
-    time of the first forced candidate, or -1.
+    time of the first forced instant, or -1.
     """
     n = len(ts)
     if n == 0:
         return [], [], -1
     nxt = _next_index(ts, forced, cooldown_us)
-    last = np.arange(n)
-    for i in range(n - 1, -1, -1):
-        if nxt[i] < n:
-            last[i] = last[nxt[i]]
+    last = np.where(nxt < n, nxt, np.arange(n))
+    while True:  # every round doubles the steps a pointer stands for
+        further = last[last]
+        if np.array_equal(further, last):
+            break
+        last = further
     hits = np.flatnonzero(forced)
     reach = int(np.searchsorted(ts, ts[0] + cooldown_us, side="left"))
     top = min(reach, n - 1, int(hits[0]) if len(hits) else n)
@@ -139,54 +143,74 @@ def _walk(ts: np.ndarray, forced: np.ndarray, last_us: int | None, cooldown_us:
     return accepted
 
 
+def _opened(ts: np.ndarray, forced: np.ndarray, last_us: int | None, cooldown_us: int) -> np.ndarray:
+    """Which instants find the clock open; forced ones move it as well, open or not."""
+    opened = _walk(ts, forced, last_us, cooldown_us)
+    at = ts[opened]
+    if len(at):
+        since_first = cooldown_us if last_us is None else at[0] - last_us
+        opened[opened] = np.append(since_first, np.diff(at)) >= cooldown_us
+    return opened
+
+
+# What the candidates of an instant can be, per clock: (early, forced) -> bit.
+KINDS = {(False, False): 1, (False, True): 2, (True, False): 4, (True, True): 8}
+
+
 def cooldown_accept(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str], clocks: dict,
                     chunk_s: int = 3600, grace_s: int = 0) -> DataFrame:
     """Adds one boolean per clock: was the candidate accepted?
 
     `clocks` maps the new column to `(candidate column, forced column or None, cooldown in seconds)`, and
     optionally a fourth column that marks candidates which do not count within `grace_s` of the first
-    row of the key.
-    `chunk_s` bounds the rows that are handled as one unit; it must be at least the longest cooldown.
-    A unit is one row with arrays, so an Arrow batch carries many units.
+    row of the key. Candidates of one instant come in `order`, then in the order of their columns.
+    A unit of work is the distinct instants of a key's chunk of `chunk_s`, which must be at least the longest
+    cooldown. Per key, the chunks meet as step functions: each has at most the distinct candidate instants of
+    one cooldown as entries.
     """
     part = [*keys, CHUNK]
-    cooldowns = [spec[2] * 1_000_000 for spec in clocks.values()]
+    specs = [(c, forced, seconds * 1_000_000, early[0] if early else None) for c, forced, seconds, *early in clocks.values()]
+    cooldowns = [cd for _, _, cd, _ in specs]
     if max(cooldowns) > chunk_s * 1_000_000:
         raise ValueError("chunk_s must be at least the longest cooldown")
-    n, grace_us = len(cooldowns), grace_s * 1_000_000
-    bits = F.lit(0)
-    for i, (candidate, forced, _, *early) in enumerate(clocks.values()):
-        for bit, name in ((1, candidate), (2, forced), (4, early[0] if early else None)):
-            if name:
-                bits = bits + F.when(F.col(name), bit << (3 * i)).otherwise(0)
-    ties = [c for c in order if c != ts]
-    row = F.struct(F.unix_micros(ts).alias("_us"), *ties, bits.alias("_bits"), F.struct(*df.columns).alias("_row"))
+    n, grace_us, us = len(specs), grace_s * 1_000_000, F.unix_micros(ts)
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False)) if name else F.lit(False)
+    bits = F.lit(0).cast("bigint")
+    for i, (candidate, forced, _, early) in enumerate(specs):
+        for (is_early, is_forced), bit in KINDS.items():
+            if (early or not is_early) and (forced or not is_forced):
+                hit = flag(candidate) & (flag(early) == is_early) & (flag(forced) == is_forced)
+                bits = bits + F.when(hit, bit << (4 * i)).otherwise(0)
     # The first row of a key matters in the chunks its grace period reaches, nowhere else.
-    starts = df.groupBy(*keys).agg(F.min(F.unix_micros(ts)).alias("_start")).withColumn(CHUNK, F.explode(F.sequence(
+    starts = df.groupBy(*keys).agg(F.min(us).alias("_start")).withColumn(CHUNK, F.explode(F.sequence(
         F.floor(F.col("_start") / (chunk_s * 1_000_000)), F.floor((F.col("_start") + grace_us) / (chunk_s * 1_000_000))
     )))
+    instants = df.select(*keys, time_chunk(ts, chunk_s).alias(CHUNK), us.alias("_us"), bits.alias("_bits")).where(
+        "_bits <> 0").groupBy(*part, "_us").agg(F.bit_or("_bits").alias("_bits"))
     packed = (
-        df.withColumn(CHUNK, time_chunk(ts, chunk_s)).groupBy(*part)
-        .agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+        instants.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct("_us", "_bits"))).alias("_i"))
         .join(starts, part, "left")
-        .select(*part, "_rows", F.col("_rows._us").alias("_at"), F.col("_rows._bits").alias("_flags"),
+        .select(*part, F.col("_i._us").alias("_at"), F.col("_i._bits").alias("_flags"),
                 F.coalesce("_start", F.lit(-1).cast("bigint")).alias("_start"))
     )
 
-    def clock(us, flags, start, i: int):
-        at, f = np.asarray(us, dtype=np.int64), np.asarray(flags)
-        mask = (f >> (3 * i)) & 1 == 1
-        if start >= 0:
-            mask = mask & ~(((f >> (3 * i)) & 4 == 4) & (at - start < grace_us))
-        return mask, at[mask], ((f >> (3 * i)) & 2 == 2)[mask]
+    def in_grace(at, start):
+        return at - start < grace_us if start >= 0 else np.zeros(len(at), bool)
+
+    def clock(at, flags, grace, i: int):
+        own = (flags >> (4 * i)) & 15
+        own = np.where(grace, own & 3, own)
+        mask = own != 0
+        return mask, at[mask], (own[mask] & 10) != 0
 
     summary_type = "array<struct<enter:array<bigint>,leave:array<bigint>,hard:bigint>>"
 
     @F.pandas_udf(summary_type)
-    def summarize(us: pd.Series, flags: pd.Series, start: pd.Series) -> pd.Series:
+    def summarize(at: pd.Series, flags: pd.Series, start: pd.Series) -> pd.Series:
         out = []
-        for u, f, s in zip(us, flags, start):
-            cells = [_entry_exit(*clock(u, f, s, i)[1:], cd) for i, cd in enumerate(cooldowns)]
+        for u, f, s in zip(at, flags, start):
+            grace = in_grace(u, s)
+            cells = [_entry_exit(*clock(u, f, grace, i)[1:], cd) for i, cd in enumerate(cooldowns)]
             out.append([{"enter": a, "leave": b, "hard": c} for a, b, c in cells])
         return pd.Series(out)
 
@@ -203,19 +227,23 @@ def cooldown_accept(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence
             out.append(carried)
         return pd.Series(out)
 
-    @F.pandas_udf("array<int>")
-    def replay(us: pd.Series, flags: pd.Series, start: pd.Series, last: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<struct<us:bigint,open:int,grace:boolean>>")
+    def replay(at: pd.Series, flags: pd.Series, start: pd.Series, last: pd.Series) -> pd.Series:
         out = []
-        for u, f, s, before in zip(us, flags, start, last):
-            done = np.zeros(len(u), dtype=np.int32)
+        for u, f, s, before in zip(at, flags, start, last):
+            grace = in_grace(u, s)
+            opened = np.zeros(len(u), dtype=np.int32)
+            barred = np.zeros(len(u), dtype=bool)  # early candidates within the grace period
             for i, cd in enumerate(cooldowns):
-                mask, at, hard = clock(u, f, s, i)
+                mask, own, hard = clock(u, f, grace, i)
                 since = None if pd.isna(before[i]) else int(before[i])
-                done[np.flatnonzero(mask)[_walk(at, hard, since, cd)]] |= 1 << i
-            out.append(done)
+                opened[np.flatnonzero(mask)[_opened(own, hard, since, cd)]] |= 1 << i
+                barred |= grace & (((f >> (4 * i)) & 12) != 0)
+            told = np.flatnonzero((opened != 0) | barred)
+            out.append([{"us": int(u[j]), "open": int(opened[j]), "grace": bool(grace[j])} for j in told])
         return pd.Series(out)
 
-    # Only the step functions of the chunks of a key meet in one place: a few numbers per chunk.
+    # Only the step functions of the chunks of a key meet in one place.
     cells = F.struct(F.col(CHUNK).alias("chunk"), summarize("_at", "_flags", "_start").alias("cells"))
     per_key = packed.select(*keys, cells.alias("_s")).groupBy(*keys).agg(
         F.array_sort(F.collect_list("_s"), lambda a, b: (a["chunk"] - b["chunk"]).cast("int")).alias("_s")
@@ -223,14 +251,25 @@ def cooldown_accept(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence
     carry = per_key.select(*keys, F.explode(compose("_s")).alias("_c")).select(
         *keys, F.col("_c.chunk").alias(CHUNK), F.col("_c.last").alias("_last")
     )
-    done = packed.join(carry, part).withColumn("_done", replay("_at", "_flags", "_start", "_last"))
-    rows = done.select(F.explode(F.arrays_zip(F.col("_rows._row").alias("_row"), "_done")).alias("_x"))
-    accepted = [F.col("_x._done").bitwiseAND(1 << i).alias(name) for i, name in enumerate(clocks)]
-    return rows.select("_x._row.*", *[(a > 0).alias(name) for a, name in zip(accepted, clocks)])
+    told = packed.join(carry, part).select(*keys, F.explode(replay("_at", "_flags", "_start", "_last")).alias("_o")).select(
+        *keys, F.col("_o.us").alias("_us"), F.col("_o.open").alias("_open"), F.col("_o.grace").alias("_grace"))
+    # Rows of one instant meet by (key, time), as many groups as there are instants.
+    rows = df.withColumn("_us", us).join(told, [*keys, "_us"], "left")
+    turn = Window.partitionBy(*keys, "_us").orderBy(*[c for c in order if c != ts], *df.columns).rowsBetween(
+        Window.unboundedPreceding, 0)
+    late = ~F.coalesce("_grace", F.lit(False))
+    counts = {name: flag(spec[0]) & (late | ~flag(spec[3])) for name, spec in zip(clocks, specs)}
+    rows = rows.select("*", *[F.sum(c.cast("int")).over(turn).alias(f"_n{i}") for i, c in enumerate(counts.values())])
+    accepted = []
+    for i, ((name, counted), (_, forced, cd, _)) in enumerate(zip(counts.items(), specs)):
+        opens = F.coalesce(F.col("_open").bitwiseAND(1 << i) > 0, F.lit(False))
+        first = F.col(f"_n{i}") == 1
+        accepted.append((counted if cd == 0 else counted & (flag(forced) | (opens & first))).alias(name))
+    return rows.select(*df.columns, *accepted)
 
 
 def _through(enter, leave, first_forced: int, last: int | None, cooldown_us: int) -> int | None:
-    """Time of the last accepted candidate after a chunk, given the one before it."""
+    """Time of the last accepted instant after a chunk, given the one before it."""
     if len(enter) == 0:
         return last
     at = 0 if last is None else int(np.searchsorted(enter, last + cooldown_us, side="left"))

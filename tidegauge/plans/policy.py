@@ -118,6 +118,24 @@ def scale_actions(spark, folder):
                        "action_vertical", "pod_restart_count")
 
 
+DENSE = f"""{CYCLES.replace("cyc AS (", "sparse AS (")},
+cyc AS (SELECT * REPLACE ('all' AS namespace, TIMESTAMP '2024-03-01' + to_seconds(event_id) AS timestamp) FROM sparse)"""
+
+
+@query("scale_actions_dense", clocks_sql(DENSE, "event_id"))
+def scale_actions_dense(spark, folder):
+    """All cycles as one key, a second apart."""
+    rows = cycles(spark, folder).select(
+        "event_id", "scaling_mode", "current_replicas", "current_memory_mb",
+        "actual_cpu_cores", "predicted_cpu_cores", "actual_ram_gb", "predicted_ram_gb", "restarted",
+        F.lit("all").alias("namespace"),
+        F.timestamp_seconds(F.unix_timestamp(F.lit("2024-03-01 00:00:00")) + F.col("event_id")).alias("timestamp"),
+    )
+    done = ops.scale_actions(rows, POLICY, order=["timestamp", "event_id"], restarted="restarted", chunk_s=6 * 3600)
+    return done.select("namespace", "event_id", "desired_replicas", "desired_memory_mb", "action_horizontal",
+                       "action_vertical", "pod_restart_count")
+
+
 @query("eval_only", f"""WITH {CYCLES}
 SELECT namespace, count(*) AS n_rows, min(timestamp) AS first_ts, {s6("avg(actual_cpu_cores)")} AS mean_cpu
 FROM cyc WHERE phase = 'evaluation' GROUP BY 1""")
