@@ -144,3 +144,16 @@ def test_batch_state(spark, tmp_path):
     path.write_text(json.dumps({"version": 1, "config": {"x": 1}, "completed": ["a"], "failed": [], "pending": ["b", "c"]}, indent=2))
     got = {(r.namespace, r.state) for r in tables.read_batch_state(spark, str(path)).collect()}
     assert got == {("a", "completed"), ("b", "pending"), ("c", "pending")}
+
+
+def test_p_value_method_is_an_argument(spark):
+    rows = pair_frame(spark, [1, 2, 3, 4], [0, 0, 0, 0])
+    exact = analysis.wilcoxon(rows, ["g"], "a", "b").first()
+    normal = analysis.wilcoxon(rows, ["g"], "a", "b", method="normal").first()
+    assert (exact.p_method, exact.p_value) == ("exact", 0.125)
+    assert normal.p_method == "normal" and abs(normal.p_value - 0.0679) < 1e-4  # z = -5 / sqrt(7.5)
+    tied = analysis.wilcoxon(pair_frame(spark, [1, 1, 3], [0, 0, 0]), ["g"], "a", "b").first()
+    assert tied.p_method == "normal"
+    assert abs(analysis.signed_rank_p(700, 60, 0.0, 0) - analysis.signed_rank_p(700, 60, 0.0, 0, "normal")) < 0.01
+    with pytest.raises(ValueError):
+        analysis.wilcoxon(rows, ["g"], "a", "b", method="auto")

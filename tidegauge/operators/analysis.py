@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -143,34 +144,49 @@ def signed_ranks(pairs: DataFrame, group: Sequence[str], a: str, b: str, min_n:
     )
 
 
-def signed_rank_p(w: float, n: int, tie_term: float, n_zero: int) -> float:
-    """Two-sided p: exact counts of rank subsets for n <= 50 without ties or zeros, else the normal limit."""
+P_METHODS = ("exact", "normal")
+
+
+def signed_rank_p(w: float, n: int, tie_term: float, n_zero: int, method: str = "exact") -> float:
+    """Two-sided p by the chosen method.
+
+    `exact` counts rank subsets, which only says something without ties and zeros; with them the normal limit takes
+    its place. Its work grows with the cube of n: choose `normal` for large groups.
+    """
+    if method not in P_METHODS:
+        raise ValueError(f"method must be one of {P_METHODS}, got {method}")
     if n == 0:
         return 1.0
-    if n <= 50 and tie_term == 0 and n_zero == 0:
-        ways = [1]
+    if method == "exact" and tie_term == 0 and n_zero == 0:
+        share = np.zeros(n * (n + 1) // 2 + 1)
+        share[0] = 1.0
         for rank in range(1, n + 1):
-            longer = ways + [0] * rank
-            for s, c in enumerate(ways):
-                longer[s + rank] += c
-            ways = longer
-        return min(1.0, 2.0 * sum(ways[: int(w) + 1]) / 2.0**n)
+            shifted = np.append(np.zeros(rank), share[:-rank])
+            share = (share + shifted) / 2.0
+        return min(1.0, 2.0 * float(share[: int(w) + 1].sum()))
     mean = n * (n + 1) / 4.0
     var = (n * (n + 1) * (2 * n + 1) - tie_term / 2.0) / 24.0
     return math.erfc(abs(w - mean) / math.sqrt(var) / math.sqrt(2.0)) if var > 0 else 1.0
 
 
-def wilcoxon(pairs: DataFrame, group: Sequence[str], a: str, b: str, min_n: int = 3, level: float = 0.05) -> DataFrame:
-    """Signed-rank test per group; the p value is a small function on one row per group."""
+def wilcoxon(pairs: DataFrame, group: Sequence[str], a: str, b: str, min_n: int = 3, level: float = 0.05,
+             method: str = "exact") -> DataFrame:
+    """Signed-rank test per group; the p value is a small function on one row per group.
+
+    `p_method` is the method the p value of the row comes from: `exact` becomes `normal` where a group has ties or zeros.
+    """
+    if method not in P_METHODS:
+        raise ValueError(f"method must be one of {P_METHODS}, got {method}")
 
     @F.pandas_udf("double")
     def p_value(w: pd.Series, n: pd.Series, ties: pd.Series, total: pd.Series) -> pd.Series:
-        return pd.Series([signed_rank_p(x, int(k), t, int(s - k)) for x, k, t, s in zip(w, n, ties, total)])
+        return pd.Series([signed_rank_p(x, int(k), t, int(s - k), method) for x, k, t, s in zip(w, n, ties, total)])
 
+    plain = (F.lit(method) == "exact") & (F.col("tie_term") == 0) & (F.col("n_nonzero") == F.col("n_samples"))
     stats = signed_ranks(pairs, group, a, b, min_n)
     return stats.withColumn("p_value", p_value("w", "n_nonzero", "tie_term", "n_samples")).withColumn(
         "significant", F.col("p_value") < level
-    )
+    ).withColumn("p_method", F.when(plain, "exact").otherwise("normal"))
 
 
 def pivot_mean(runs: DataFrame, row: str, column: str, value: str, columns: Sequence[str]) -> DataFrame:
