@@ -157,3 +157,10 @@ def test_p_value_method_is_an_argument(spark):
     assert abs(analysis.signed_rank_p(700, 60, 0.0, 0) - analysis.signed_rank_p(700, 60, 0.0, 0, "normal")) < 0.01
     with pytest.raises(ValueError):
         analysis.wilcoxon(rows, ["g"], "a", "b", method="auto")
+
+
+def test_unparsable_documents_are_returned(spark):
+    docs = spark.createDataFrame([(1, '{"a": 1}'), (2, '{"a": '), (3, None), (4, '{"b": 2}')], "id int, doc string")
+    assert [r.id for r in analysis.parse_json(docs, "doc", "a int").orderBy("id").collect()] == [1, 4]
+    rejects = analysis.rejected_json(docs, "doc", "a int").orderBy("id").collect()
+    assert [(r.id, r.doc) for r in rejects] == [(2, '{"a": '), (3, None)]

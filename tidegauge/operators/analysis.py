@@ -46,12 +46,21 @@ RUN_METADATA_SCHEMA = (
 )
 
 
-def parse_json(df: DataFrame, column: str, schema: str) -> DataFrame:
-    """JSON text to columns; text that does not parse is dropped."""
+def _parsed(df: DataFrame, column: str, schema: str) -> tuple[DataFrame, Column]:
     fields = F.from_json(column, schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
-    parsed = df.withColumn("_j", fields)
-    good = parsed.filter(F.col("_j").isNotNull() & F.col("_j._corrupt").isNull())
-    return good.select(*[c for c in df.columns if c != column], "_j.*").drop("_corrupt")
+    return df.withColumn("_j", fields), F.col("_j").isNotNull() & F.col("_j._corrupt").isNull()
+
+
+def parse_json(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """JSON text to columns; `rejected_json` has the rows whose text does not parse."""
+    parsed, good = _parsed(df, column, schema)
+    return parsed.filter(good).select(*[c for c in df.columns if c != column], "_j.*").drop("_corrupt")
+
+
+def rejected_json(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """The rows `parse_json` leaves out, as they came: null texts and texts that do not parse."""
+    parsed, good = _parsed(df, column, schema)
+    return parsed.filter(~good).select(*df.columns)
 
 
 def flatten_summaries(runs: DataFrame, carry: Sequence[str] = ("run_id",)) -> DataFrame:
