@@ -254,3 +254,9 @@ def test_unknown_choices_are_errors():
                        (models.holt_winters, {"seasonal": "weekly"})):
         with pytest.raises(ValueError, match="must be none or one of"):
             fn(daily(100), 3, HOUR, params)
+
+
+def test_trials_differ():
+    for model in ("ExponentialSmoothing", "FFT", "Prophet"):
+        sets = [tuple(sorted(p.items())) for p in select.trial_params(model, 30)]
+        assert 1 < len(sets) <= 30 and len(set(sets)) == len(sets)

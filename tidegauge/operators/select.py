@@ -32,17 +32,26 @@ def rmse(actual: np.ndarray, predicted: np.ndarray) -> float:
 # ---- search ------------------------------------------------------------------------------------------
 
 
+def _effective(p: dict) -> dict:
+    """Without parameters that another choice makes meaningless."""
+    p = dict(p)
+    if p.get("trend") == "none":
+        p.pop("damped", None)
+    if p.get("seasonal") == "none":
+        p.pop("seasonal_periods", None)
+    return p
+
+
 def trial_params(model: str, n_trials: int, seed: int = 42) -> list[dict]:
-    """Parameter sets of a search: the full grid when it is small enough, else seeded random draws."""
+    """Different parameter sets of a search: `n_trials` seeded random ones, or all there are if the space has fewer."""
     space = MODELS[model].search_space
-    grid_only = all(isinstance(v, list) for v in space.values())
-    if grid_only:
-        combos = [dict(zip(space, c)) for c in itertools.product(*space.values())]
-        if len(combos) <= n_trials:
-            return combos
     rng = random.Random(seed)
-    draws = []
-    for _ in range(n_trials):
+    if all(isinstance(v, list) for v in space.values()):
+        sets = [_effective(dict(zip(space, c))) for c in itertools.product(*space.values())]
+        distinct = list({tuple(p.items()): p for p in sets}.values())
+        return rng.sample(distinct, min(n_trials, len(distinct)))
+    draws: dict[tuple, dict] = {}
+    for _ in range(100 * n_trials):  # equal draws are repeated, in a small space not forever
         p = {}
         for name, values in space.items():
             if isinstance(values, list):
@@ -51,13 +60,11 @@ def trial_params(model: str, n_trials: int, seed: int = 42) -> list[dict]:
                 p[name] = str(rng.randint(*values))
             else:
                 p[name] = str(round(rng.uniform(*values), 6))
-        # Parameters that another choice makes meaningless are not sampled.
-        if p.get("trend") == "none":
-            p.pop("damped", None)
-        if p.get("seasonal") == "none":
-            p.pop("seasonal_periods", None)
-        draws.append(p)
-    return draws
+        p = _effective(p)
+        draws.setdefault(tuple(p.items()), p)
+        if len(draws) == n_trials:
+            break
+    return list(draws.values())
 
 
 def trial_grid(models: Sequence[str], n_trials: int = 30, seed: int = 42, fixed: dict | None = None) -> list[tuple]:
