@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import benchmark, binary, jaccard, language, packing, pii, sharding, substrings, topk, urls
+from tidegauge.llm import (
+    benchmark, binary, conversations, jaccard, language, packing, pii, sharding, substrings, topk, urls,
+)
 from tidegauge.llm.common import table
 from tidegauge.llm.vocabularies import BYTE_BPE, WORD_BPE
 
@@ -104,3 +106,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_files")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_files(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(*conversations.damaged(table(spark, sf_dir, "conversations")))
