@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.llm import (
-    benchmark, binary, conversations, jaccard, language, packing, pii, sharding, substrings, topk, urls,
+    benchmark, binary, conversations, divergence, html, jaccard, language, packing, pii, sharding, substrings, topk, urls,
 )
 from tidegauge.llm.common import table
 from tidegauge.llm.vocabularies import BYTE_BPE, WORD_BPE
@@ -111,3 +111,41 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_conversation_repair")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(*conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query("op12_source_divergence", r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+t AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT k) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS n FROM t GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(c.n) FILTER (t.term IS NOT NULL), 0) AS n
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) LEFT JOIN t USING (lang, term) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n,
+             1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (g.n + l.v) AS p,
+             1 + 1000000000::HUGEINT * (t.n + 1) // (l.n + l.v) AS q
+      FROM g JOIN l USING (lang) JOIN t USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER x AS INTEGER) AS rank FROM r
+WINDOW x AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER x <= 200
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_html_extraction", r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS body FROM a),
+d AS (SELECT page_id, url, replace(regexp_replace(regexp_replace(regexp_replace(body, '&lt;', '<', 'g'), '&gt;', '>', 'g'),
+             '&quot;?', '"', 'g'), '&#x27;', chr(39)) AS body FROM t)
+SELECT page_id, url, trim(regexp_replace(regexp_replace(body, '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text,
+       length(trim(regexp_replace(regexp_replace(body, '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS n_chars FROM d
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
