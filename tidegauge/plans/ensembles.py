@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators import analysis, select
+from tidegauge.operators import analysis, select, walk
 from tidegauge.plans.forecasts import COMPONENTS, arrays
 from tidegauge.plans.registry import CYCLES, HOUR, LAG, SPLIT, cycles, hourly_split, query, r6, s6
 
@@ -78,6 +78,74 @@ def ensemble_choices(spark, folder):
     return choices
 
 
+FEW = {"SeasonalNaive": {"lag": str(LAG)}, "LastValue": {}, "Mean": {}}
+WINDOWS = range(6, 49)
+
+
+def walk_sql(prior: str, size: str, windows: str) -> str:
+    """CTEs `guess` (every component on every block), `scored` (its error on the tail of every window) and `won`."""
+    return SPLIT + f""",
+sz AS (SELECT DISTINCT series_id, {prior} AS n_prior, {size} AS n_hold FROM split),
+blk AS (SELECT series_id, block, n_prior + block * {FORWARD} AS block_start, least({FORWARD}, n_hold - block * {FORWARD}) AS block_len
+  FROM (SELECT *, unnest(generate_series(0::BIGINT, (n_hold - 1) // {FORWARD})) AS block FROM sz)),
+cum AS (SELECT series_id, step_idx, y, sum(y) OVER (PARTITION BY series_id ORDER BY step_idx ROWS UNBOUNDED PRECEDING) AS run FROM split),
+win AS (SELECT b.*, w, least(block * {FORWARD}, w) AS tail FROM blk b, ({windows}) ws(w)),
+org AS (SELECT DISTINCT series_id, block_start - tail AS o, block_start AS z, w, block FROM win WHERE tail > 0),
+own AS (SELECT DISTINCT series_id, block_start AS o, block_start + block_len AS z, NULL::BIGINT AS w, block FROM blk),
+ask AS (SELECT * FROM org UNION ALL SELECT * FROM own),
+fc AS (
+  SELECT a.*, t.step_idx, t.y, l.y AS last_y, l.run / a.o AS mean_y, coalesce(s.y, l.y) AS season_y
+  FROM ask a JOIN split t ON t.series_id = a.series_id AND t.step_idx >= a.o AND t.step_idx < a.z
+  JOIN cum l ON l.series_id = a.series_id AND l.step_idx = a.o - 1
+  LEFT JOIN split s ON s.series_id = a.series_id AND s.step_idx = a.o - {LAG} + (t.step_idx - a.o) % {LAG}),
+guess AS (
+  SELECT series_id, block, w, step_idx, y, 0 AS tie, 'SeasonalNaive' AS model, season_y AS y_hat FROM fc
+  UNION ALL SELECT series_id, block, w, step_idx, y, 1, 'LastValue', last_y FROM fc
+  UNION ALL SELECT series_id, block, w, step_idx, y, 2, 'Mean', mean_y FROM fc),
+scored AS (SELECT series_id, block, w, model, tie, sqrt(avg((y - y_hat) ** 2)) AS rmse FROM guess WHERE w IS NOT NULL GROUP BY ALL),
+won AS (
+  SELECT b.series_id, b.block, b.w, coalesce(arg_min(model, (rmse, tie)), 'Mean') AS model, min(rmse) AS best_rmse
+  FROM win b LEFT JOIN scored s ON s.series_id = b.series_id AND s.block = b.block AND s.w = b.w GROUP BY ALL)"""
+
+
+@query("ensemble_walk", f"""WITH {walk_sql("n_train + n_val", "n_steps - n_train - n_val", f"VALUES ({BACKWARD}::BIGINT)")}
+SELECT g.series_id, g.block, g.model, {s6("best_rmse")} AS best_rmse, step_idx, {s6("y_hat")} AS y_hat
+FROM guess g JOIN won ON won.series_id = g.series_id AND won.block = g.block AND won.model = g.model WHERE g.w IS NULL""")
+def ensemble_walk(spark, folder):
+    """Back-test of the test part in one pass per series and component."""
+    out = walk.ensemble_walk(arrays(spark, folder), FEW, BACKWARD, FORWARD, HOUR, initial="Mean")
+    return out.withColumn("best_rmse", r6("best_rmse")).withColumn("y_hat", r6("y_hat"))
+
+
+@query("tune_ensemble", f"""WITH {walk_sql("n_train", "n_val", "SELECT unnest(generate_series(6, 48))")}
+SELECT won.series_id, won.w::INTEGER AS backward_window, {s6("sqrt(avg((y - y_hat) ** 2))")} AS rmse
+FROM guess g JOIN won ON won.series_id = g.series_id AND won.block = g.block AND won.model = g.model WHERE g.w IS NULL GROUP BY ALL""")
+def tune_ensemble(spark, folder):
+    """All windows from 6 to 48 on the validation part, every prefix fitted once."""
+    out = walk.tune_windows(arrays(spark, folder), FEW, WINDOWS, FORWARD, HOUR, initial="Mean")
+    return out.withColumn("rmse", r6("rmse"))
+
+
+@query("best_window", f"""WITH {walk_sql("n_train", "n_val", "SELECT unnest(generate_series(6, 48))")}, t AS (
+  SELECT won.series_id, won.w, sqrt(avg((y - y_hat) ** 2)) AS rmse
+  FROM guess g JOIN won ON won.series_id = g.series_id AND won.block = g.block AND won.model = g.model WHERE g.w IS NULL GROUP BY ALL)
+SELECT series_id, arg_min(w, (round_even(rmse * 1e6, 0), w))::INTEGER AS backward_window, {s6("min(rmse)")} AS best_rmse
+FROM t GROUP BY 1""")
+def best_window(spark, folder):
+    """The window the search settles on; equal errors go to the shorter one."""
+    tuned = tune_ensemble(spark, folder)
+    best = select.best_trial(tuned, payload=["rmse"], tie="backward_window")
+    return best.select("series_id", "backward_window", "best_rmse")
+
+
+@query("ensemble_timings", f"""WITH {BLOCKS}
+SELECT series_id, 1 + (count(*) - 1) * {len(FEW) + 1} AS evaluations, true AS timed FROM blk GROUP BY 1""")
+def ensemble_timings(spark, folder):
+    blocks = walk.walk_blocks(arrays(spark, folder), FEW, BACKWARD, FORWARD, HOUR)
+    done = walk.ensemble_timings(blocks, len(FEW))
+    return done.select("series_id", "evaluations", ((F.col("fit_s") > 0) & (F.col("predict_s") > 0)).alias("timed"))
+
+
 @query("ensemble_online")
 def ensemble_online(spark, folder):
     return select.ensemble_select_online(arrays(spark, folder), COMPONENTS, LAG, HOUR)
