@@ -1,4 +1,4 @@
-"""Windowed streams: ticks and sliding counter rates."""
+"""Windowed streams: ticks."""
 
 from __future__ import annotations
 
@@ -23,27 +23,3 @@ def stream_ticks(samples: DataFrame, step: str, delay: str, keys: Sequence[str],
 
 def _names(samples: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> list[str]:
     return [c for c in samples.groupBy(*keys).agg(*aggregates).columns if c not in keys]
-
-
-def stream_counter_rate(samples: DataFrame, window: str, slide: str, delay: str, source: Sequence[str],
-                        order: Sequence[str] = ("ts",), value: str = "value", window_s: int = 60) -> DataFrame:
-    """Reset-aware growth per source and sliding window, per second.
-
-    The samples of one source in one window are few (window / scrape interval); they are put in order
-    and walked by a built-in fold. Windows are `[start, end)`.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
-    grouped = samples.withWatermark("ts", delay).groupBy(*source, F.window("ts", window, slide).alias("_w")).agg(
-        ordered.alias("_s")
-    )
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("last"))
-
-    def step(acc: Column, s: Column) -> Column:
-        v, last = s["_v"], acc["last"]
-        growth = F.when(last.isNull(), 0.0).when(v >= last, v - last).otherwise(v)
-        return F.struct((acc["sum"] + growth).alias("sum"), v.alias("last"))
-
-    total = F.aggregate("_s", start, step, lambda acc: acc["sum"])
-    return grouped.filter(F.size("_s") > 1).select(
-        *source, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("ts"), (total / window_s).alias("rate")
-    )
