@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import catalog, study
 from tidegauge.operators import select
-from tidegauge.sources import tables
+from tidegauge.sources import tables, usage as usage_files
 
 T0 = dt.datetime(2024, 3, 1, tzinfo=dt.timezone.utc)
 
@@ -103,3 +103,23 @@ def test_analysis_tables(spark):
     assert len(tests) == 12 and tests["FFT", "MAE_cpu"].p_value == 0.125
     assert tests["FFT", "sla_cpu_violation_rate"].p_value == 1.0
     assert out["oscillations"].count() == 3 and out["overprovision"].count() == 3
+
+
+def test_usage_files_whatever_their_headers(spark, tmp_path):
+    """Quoted and capital headers, a byte-order mark, other columns per file, short and long lines, bad dates and numbers."""
+    files = {
+        "a.csv": '﻿"TIMESTAMP","Date, local","I 1",I2\n1,1/1/21 0:00,1.5,2\n2,1/1/21 1:00,,4\n3,1/1/21 2:00\n4,1/1/21 3:00,1,2,3\n',
+        "sub/b.csv": "Timestamp,when,i3\n1,1/1/21 0:00,7\n2,not a date,8\n3,1/1/21 2:00,many\n",
+        "sub/c.csv": "Timestamp,when,i3\n1,2/1/21 0:00,9\n",
+        "d.csv": "", "e.csv": "timestamp,date,i3\n", "f.csv": "one\n1\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    long, rejects = usage_files.scan_usage(spark, str(tmp_path))
+    got = [(r.path.rsplit("/", 1)[1], r.instance, r.ts.strftime("%d %H"), r.value) for r in long.collect()]
+    assert sorted(got, key=str) == sorted([
+        ("a.csv", "I 1", "01 00", 1.5), ("a.csv", "I2", "01 00", 2.0), ("a.csv", "I 1", "01 01", None), ("a.csv", "I2", "01 01", 4.0),
+        ("b.csv", "i3", "01 00", 7.0), ("c.csv", "i3", "01 00", 9.0)], key=str)
+    assert sorted(r.line for r in rejects.collect()) == ["1", "2,not a date,8", "3,1/1/21 2:00", "3,1/1/21 2:00,many", "4,1/1/21 3:00,1,2,3"]
+    assert usage_files.read_usage(spark, str(tmp_path), ["i3"]).count() == 2

@@ -51,6 +51,32 @@ def usage_scan(spark, folder):
     return long.select(app.alias("app"), "instance", out_ts("ts").alias("ts"), r6("value").alias("value"))
 
 
+SHORT = "minute(ts) % 7 = 0"
+
+
+@query("usage_files", f"""WITH {MINUTE}
+SELECT app, instance, ts, {s6('value')} AS value, NULL::VARCHAR AS line FROM mu WHERE NOT {SHORT}
+UNION ALL SELECT DISTINCT app, NULL, NULL, NULL, epoch_ms(ts) || ',' || strftime(ts, '%-m/%-d/%y %-H:%M') FROM mu WHERE {SHORT}""")
+def usage_files(spark, folder):
+    """Daily files with quoted headers in capitals and lines that break off: what fits, and the lines that do not."""
+    out = fresh_path(spark, "usage-files")
+    for app, names in INSTANCES.items():
+        wide = wide_usage(spark, folder, app)
+        ts = F.timestamp_millis("timestamp")
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in wide.columns]
+        line = F.when(F.minute(ts) % 7 == 0, F.concat_ws(",", *cells[:2])).otherwise(F.concat_ws(",", *cells))
+        rows = wide.select(F.to_date(ts).alias("day"), F.lit(1).alias("o"), line.alias("value"))
+        header = ",".join(f'"{c}"' for c in ("TIMESTAMP", "Date, local", *names))
+        heads = rows.select("day").distinct().select("day", F.lit(0).alias("o"), F.lit(header).alias("value"))
+        rows.unionByName(heads).repartition("day").sortWithinPartitions("day", "o").select("day", "value").write.partitionBy(
+            "day").text(f"{out}/application_{app}")
+    long, rejects = usage.scan_usage(spark, out, glob="*.txt")
+    app = F.regexp_extract("path", "application_([A-Z])/", 1).alias("app")
+    good = long.where(F.col("value").isNotNull()).select(
+        app, "instance", out_ts("ts").alias("ts"), r6("value").alias("value"), F.lit(None).cast("string").alias("line"))
+    return good.unionByName(rejects.select(app, "line"), allowMissingColumns=True)
+
+
 @query("usage_union", f"""WITH {MINUTE}
 SELECT instance, ts, {s6("value")} AS value FROM mu WHERE app = 'B'""")
 def usage_union(spark, folder):
