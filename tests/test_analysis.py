@@ -3,13 +3,14 @@
 import datetime as dt
 import itertools
 import json
+import os
 import random
 
 import numpy as np
 import pytest
 
 from tidegauge.operators import analysis, grid, select
-from tidegauge.sources import tables, usage
+from tidegauge.sources import documents, tables, usage
 
 
 def pair_frame(spark, a, b):
@@ -134,6 +135,30 @@ def test_run_documents(spark, tmp_path):
     assert tables.read_run_metadata(spark, str(tmp_path / "off"), "2023").count() == 1
 
 
+def test_scanned_documents_keep_their_rejects(spark, tmp_path):
+    """A broken, an empty and a good summary; the quarantine takes each version once; a pinned run reads its files alone."""
+    good = json.dumps({"namespace": "n", "model_name": "FFT", "operational_metrics": {"avg_replicas": 2.0}})
+    for run, text in (("r1", good), ("r2", "{broken"), ("r3", " \n")):
+        (tmp_path / "live" / run / "ns").mkdir(parents=True)
+        (tmp_path / "live" / run / "ns" / "summary.json").write_text(text)
+    flat, bad = documents.scan_run_summaries(spark, str(tmp_path / "live"))
+    assert [(r.run_id, r.avg_replicas) for r in flat.collect()] == [("r1", 2.0)]
+    assert sorted((r.state, r.text) for r in bad.collect()) == [("corrupt", "{broken"), ("empty", " \n")]
+    held = str(tmp_path / "quarantine")
+    assert documents.quarantine(bad, held).count() == 2
+    assert documents.quarantine(bad, held).count() == 2
+    later = tmp_path / "live" / "r2" / "ns" / "summary.json"
+    later.write_text("{still broken")
+    os.utime(later, (2_000_000_000, 2_000_000_000))
+    assert documents.quarantine(documents.scan_run_summaries(spark, str(tmp_path / "live"))[1], held).count() == 3
+    for ts in ("20240101_000000", "20240102_000000"):
+        (tmp_path / "off" / "A+B" / ts).mkdir(parents=True)
+        (tmp_path / "off" / "A+B" / ts / "metadata.json").write_text(json.dumps({"dataset": ts, "metrics": {"MAE": 1.0}}))
+    meta, bad = documents.scan_run_metadata(spark, str(tmp_path / "off"), "20240102_000000")
+    assert [(r.model, r.run_ts, r.dataset) for r in meta.collect()] == [("A+B", "20240102_000000", "20240102_000000")]
+    assert bad.count() == 0 and documents.scan_run_metadata(spark, str(tmp_path / "off"))[0].count() == 2
+
+
 def test_missing_stage_is_named(spark, tmp_path):
     with pytest.raises(tables.MissingStage, match="run the data stage first"):
         tables.read_splits(spark, str(tmp_path))

@@ -20,6 +20,7 @@ from tidegauge.functions import lag_for_step
 from tidegauge.operators.models import (
     MODELS, Model, _choice, _flag, _none, _params, additive_design, filled, solve_ridge, split_sizes, spread, with_models,
 )
+from tidegauge.operators.smoothing import smooth_ahead, smooth_state
 from tidegauge.session import fresh_path
 
 State = dict[str, np.ndarray]
@@ -351,6 +352,8 @@ register_phases("SeasonalNaive", _season, _look_up, _prefixes(_season))
 register_phases("LastValue", _last, _constant, _prefixes(_last))
 register_phases("Mean", _mean, _constant, _mean_walk)
 register_phases("ExponentialSmoothing", _one_state(_smoothing_walk), _smoothed, _smoothing_walk)
+register_phases("Smoothing", smooth_state, smooth_ahead, search_space={
+    "trend": ["additive", "none"], "seasonal": ["additive", "none"], "damped": ["true", "false"], "seasonal_periods": (2, 48)})
 register_phases("FFT", _spectral_fit, _spectral_predict)
 register_phases("Prophet", _additive_fit, _additive_predict, _additive_walk)
 

@@ -6,11 +6,12 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidegauge.operators import models, select
+from tidegauge.operators import models, phases, select
 from tidegauge.operators.series import history_tail, regular_series, series_arrays
 from tidegauge.plans.registry import (
     HOUR, HOURLY, SPLIT, events, hourly, hourly_split, query, r6, s6,
 )
+from tidegauge.session import fresh_path
 
 ALPHAS = [round(0.05 * i, 2) for i in range(1, 20)]
 
@@ -123,6 +124,40 @@ def forecast_holt_winters(spark, folder):
     return models.forecast(arrays(spark, folder), {"ExponentialSmoothing": params}, 24, HOUR)
 
 
+SMOOTHED = {"trend": "additive", "damped": "true", "seasonal": "additive", "seasonal_periods": "24"}
+WEIGHTS = {"alpha": 0.2, "beta": 0.05, "gamma": 0.1, "phi": 0.9}
+
+
+@query("smoothing_fixed", f"""WITH RECURSIVE {HOURLY},
+st AS (SELECT series_id, list(y ORDER BY step_idx) AS ys FROM series WHERE step_idx < 48 GROUP BY 1),
+r(series_id, t, level, slope, season) AS (
+  SELECT series_id, 0::BIGINT, list_avg(ys[1:24]), (list_avg(ys[25:48]) - list_avg(ys[1:24])) / 24,
+    list_transform(ys[1:24], lambda x: x - list_avg(ys[1:24])) FROM st
+  UNION ALL
+  SELECT r.series_id, t + 1, level + {WEIGHTS["phi"]}::DOUBLE * slope + {WEIGHTS["alpha"]}::DOUBLE * miss,
+    {WEIGHTS["phi"]}::DOUBLE * slope + {WEIGHTS["beta"]}::DOUBLE * ({WEIGHTS["alpha"]}::DOUBLE * miss),
+    list_append(season[2:], season[1] + {WEIGHTS["gamma"]}::DOUBLE * {1 - WEIGHTS["alpha"]}::DOUBLE * miss)
+  FROM (SELECT r.*, s.y - (level + {WEIGHTS["phi"]}::DOUBLE * slope) - season[1] AS miss
+        FROM r JOIN series s ON s.series_id = r.series_id AND s.step_idx = r.t) r),
+f AS (SELECT r.* FROM r JOIN (SELECT DISTINCT series_id, n_steps FROM series) n ON n.series_id = r.series_id AND n.n_steps = r.t)
+SELECT series_id, t + h - 1 AS step_idx,
+  {s6(f"level + slope * ({WEIGHTS['phi']}::DOUBLE * (1 - pow({WEIGHTS['phi']}::DOUBLE, h)) / (1 - {WEIGHTS['phi']}::DOUBLE)) + season[((h - 1) % 24) + 1]")} AS y_hat
+FROM f, (SELECT unnest(generate_series(1::BIGINT, 48)) AS h)""")
+def smoothing_fixed(spark, folder):
+    """Two days ahead by the smoothing recursion at given weights."""
+    params = SMOOTHED | {k: str(v) for k, v in WEIGHTS.items()}
+    out = models.forecast(arrays(spark, folder), {"Smoothing": params}, 48, HOUR)
+    return out.select("series_id", "step_idx", r6("y_hat").alias("y_hat"))
+
+
+@query("forecast_smoothing")
+def forecast_smoothing(spark, folder):
+    """The same with fitted weights and start states, from a stored model table."""
+    path = fresh_path(spark, "smoothing")
+    phases.write_models(phases.fit_models(arrays(spark, folder), {"Smoothing": SMOOTHED}, HOUR), path)
+    return phases.predict_models(spark.read.parquet(path), 24, HOUR)
+
+
 @query("forecast_additive")
 def forecast_additive(spark, folder):
     params = {"daily_seasonality": "auto", "weekly_seasonality": "true", "yearly_seasonality": "false",

@@ -14,7 +14,7 @@ from tidegauge.plans.registry import (
     CYCLES, HOUR, HOURLY, LAG, POLICY, SPLIT, TELE, cycles, events, hourly, hourly_split, out_ts, query, r6, s6, telemetry,
 )
 from tidegauge.session import fresh_path
-from tidegauge.sources import tables, usage
+from tidegauge.sources import documents, tables, usage
 
 INSTANCES = {a: [f"{a}{i}" for i in range(1, 9)] for a in "ABC"}
 CUT = "2024-01-16"
@@ -200,6 +200,54 @@ def run_summary_flatten(spark, folder):
                        r6("sla_cpu_violation_rate").alias("sla_cpu_violation_rate"), "avg_replicas")
 
 
+@query("run_files", f"""WITH {EVAL}, f AS (
+  SELECT namespace, model_name, avg(abs(predicted_cpu_cores - actual_cpu_cores)) AS mae,
+    round_even(avg(current_replicas) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS avg_replicas
+  FROM ev GROUP BY ALL)
+SELECT namespace, CASE WHEN model_name = 'FFT' THEN NULL ELSE model_name END AS model_name,
+  CASE WHEN model_name = 'FFT' THEN 'corrupt' ELSE 'ok' END AS state, CASE WHEN model_name <> 'FFT' THEN {s6("mae")} END AS "MAE_cpu",
+  CASE WHEN model_name <> 'FFT' THEN avg_replicas END AS avg_replicas FROM f""")
+def run_files(spark, folder):
+    """One summary file per run, those of one model cut off: the runs that parse and, from the quarantine table, the rest."""
+    out = fresh_path(spark, "runs")
+    docs = summary_documents(spark, folder).withColumn("model", F.xxhash64("json"))
+    docs.repartition("run_id", "model").write.partitionBy("model", "run_id").text(out)
+    flat, bad = documents.scan_run_summaries(spark, out, "*.txt")
+    held = documents.quarantine(bad, fresh_path(spark, "quarantine"))
+    good = flat.select("namespace", "model_name", F.lit("ok").alias("state"), r6("MAE_cpu").alias("MAE_cpu"), "avg_replicas")
+    run = F.regexp_extract(documents.folder_of(1), "run_id=(.*)", 1).alias("namespace")
+    return good.unionByName(held.select(run, "state"), allowMissingColumns=True)
+
+
+PINNED = "20240102_000000"
+
+
+@query("metadata_files", f"""WITH {TELE}, g AS (
+  SELECT app, series_id, avg(value) AS mae FROM tele WHERE user_id % 2 = 1 GROUP BY ALL)
+SELECT app AS "Dataset", series_id AS "Model", '{PINNED}' AS run_ts, 'ok' AS state, {s6("mae")} AS "MAE" FROM g WHERE series_id <> 'view'
+UNION ALL SELECT NULL, series_id, '{PINNED}', 'corrupt', NULL FROM g WHERE series_id = 'view'""")
+def metadata_files(spark, folder):
+    """Two runs of every model as metadata files, of which only the pinned one is read; documents of one model break off."""
+    out = fresh_path(spark, "metadata")
+    run = F.when(F.col("user_id") % 2 == 1, PINNED).otherwise("20240101_000000").alias("run_ts")
+    scored = telemetry(spark, folder).groupBy("app", "series_id", run).agg(F.avg("value").alias("MAE"))
+    scores = F.struct("MAE")
+    head = [F.col("app").alias("dataset"), F.lit("Total_Usage").alias("target_col"), F.col("series_id").alias("model_type")]
+    text = F.to_json(F.struct(*head, F.struct(scores.alias("test")).alias("metrics")))
+    text = F.when(F.col("app") == "A", F.to_json(F.struct(*head, scores.alias("metrics")))).otherwise(text)
+    text = F.when(F.col("series_id") == "view", F.substring(text, 1, 30)).otherwise(text)
+    docs = scored.select("app", "series_id", "run_ts", text.alias("json"))
+    for app in INSTANCES:
+        for ts in ("20240101_000000", PINNED):
+            part = docs.where((F.col("app") == app) & (F.col("run_ts") == ts)).select("series_id", "json")
+            part.repartition("series_id").write.partitionBy("series_id").text(f"{out}/{ts}/{app}")
+    meta, bad = documents.scan_run_metadata(spark, out, PINNED, "*.txt")
+    good = analysis.results_summary(meta).select("Dataset", "Model", F.lit(PINNED).alias("run_ts"), F.lit("ok").alias("state"),
+                                                 r6("MAE").alias("MAE"))
+    model = F.regexp_extract(documents.folder_of(1), "series_id=(.*)", 1).alias("Model")
+    return good.unionByName(bad.select(model, documents.folder_of(3).alias("run_ts"), "state"), allowMissingColumns=True)
+
+
 @query("results_summary", f"""WITH {TELE}, g AS (
   SELECT app, series_id, avg(value) AS mae, sqrt(avg(value * value)) AS rmse FROM tele GROUP BY ALL)
 SELECT app AS "Dataset", 'Total_Usage' AS "Target", series_id AS "Model", {s6("mae")} AS "MAE", {s6("rmse")} AS "RMSE" FROM g""")
