@@ -65,3 +65,27 @@ def test_model_is_registered_and_exact_on_a_season():
     state = phases.fit_state(phases.PHASES["Smoothing"], y, HOUR, {"trend": "none"})
     assert 0 < state["weights"][0] < 1
     assert models.run_model(models.model_functions(), "Smoothing", y[:30], 2, HOUR, {"seasonal": "additive", "seasonal_periods": "24"})[0] is None
+
+
+def test_sparse_trend_changes():
+    """Optimality of every solution, fewer changes with a larger penalty, none at the largest, all columns at none."""
+    t = np.arange(400.0)
+    y = 10 + 0.05 * t + 0.3 * np.maximum(0, t - 160) - 0.4 * np.maximum(0, t - 240) + daily(400, 3, 1.0)
+    params = {"n_changepoints": "25", "weekly_seasonality": "false", "yearly_seasonality": "false"}
+    x, ridge = models.additive_design(t, HOUR, 399.0, params)
+    changes, left = models.trend_changes(params), []
+    ridge[changes] = 0.0
+    for share in (1e-4, 1e-3, 0.01, 0.05, 0.3, 1.0):
+        beta, weight = models.solve_sparse(x.T @ x, x.T @ y, ridge, changes, share)
+        pull = x.T @ (y - x @ beta) - (ridge + 1e-9) * beta
+        others = np.delete(pull, np.arange(len(pull))[changes])
+        delta, own = beta[changes], pull[changes]
+        assert np.abs(others).max() <= 1e-6 * np.abs(x.T @ y).max()
+        assert np.allclose(own[delta != 0], weight * np.sign(delta[delta != 0]), rtol=1e-5, atol=1e-6 * weight)
+        assert (np.abs(own[delta == 0]) <= weight * (1 + 1e-6)).all()
+        left.append(int((delta != 0).sum()))
+    assert left == sorted(left, reverse=True) and left[-1] == 0 and left[0] > left[3] >= 1
+    a = models.run_model(models.model_functions(), "Prophet", y, 20, HOUR, params | {"changepoint_penalty": "0.05"})[0]
+    state = phases.fit_state(phases.PHASES["Prophet"], y, HOUR, params | {"changepoint_penalty": "0.05"})
+    b = phases.predict_state(phases.PHASES["Prophet"], state, 20, HOUR, params | {"changepoint_penalty": "0.05"})[0]
+    assert np.allclose(a, b)

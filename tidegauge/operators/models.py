@@ -174,6 +174,62 @@ def solve_ridge(xtx: np.ndarray, xty: np.ndarray, ridge: np.ndarray) -> np.ndarr
     return np.linalg.lstsq(xtx + np.diag(ridge + 1e-9), xty, rcond=None)[0]
 
 
+def trend_changes(params: dict) -> slice:
+    """Columns of the design that change the trend."""
+    return slice(2, 2 + int(params.get("n_changepoints", 10)))
+
+
+def solve_sparse(xtx: np.ndarray, xty: np.ndarray, ridge: np.ndarray, changes: slice, share: float,
+                 sweeps: int = 20_000) -> tuple[np.ndarray, float]:
+    """Coefficients with a Laplace prior on the trend changes, and the weight of their absolute sum.
+
+    The weight is a share of the one at which no change is left. The other columns are solved for in closed form, so
+    coordinate descent runs over the changes alone.
+    """
+    ridge = ridge.copy()
+    ridge[changes] = 0.0
+    gram = xtx + np.diag(ridge + 1e-9)
+    c = np.arange(len(xty))[changes]
+    f = np.setdiff1d(np.arange(len(xty)), c)
+    through = np.linalg.lstsq(gram[np.ix_(f, f)], np.column_stack([gram[np.ix_(f, c)], xty[f]]), rcond=None)[0]
+    a = gram[np.ix_(c, c)] - gram[np.ix_(c, f)] @ through[:, :-1]
+    b = xty[c] - gram[np.ix_(c, f)] @ through[:, -1]
+    weight = share * float(np.abs(b).max(initial=0.0))
+    delta, pull = np.zeros(len(c)), b.copy()  # pull: b - a @ delta
+    for sweep in range(sweeps):
+        moved = 0.0
+        for j in range(len(c)):
+            if a[j, j] <= 0:
+                continue
+            z = pull[j] + a[j, j] * delta[j]
+            new = np.sign(z) * max(abs(z) - weight, 0.0) / a[j, j]
+            if new != delta[j]:
+                pull -= a[:, j] * (new - delta[j])
+                moved = max(moved, abs(new - delta[j]) * a[j, j])
+                delta[j] = new
+        if moved <= 1e-9 * max(weight, 1e-300):
+            break
+        if sweep % 50 == 49 and delta.any():
+            # Neighbouring changes are alike and converge slowly: with the right ones and signs the rest is a solve.
+            on = np.flatnonzero(delta)
+            exact = np.linalg.lstsq(a[np.ix_(on, on)], b[on] - weight * np.sign(delta[on]), rcond=None)[0]
+            rest = b - a[:, on] @ exact
+            if (np.sign(exact) == np.sign(delta[on])).all() and (np.abs(np.delete(rest, on)) <= weight * (1 + 1e-9)).all():
+                delta[on] = exact
+                break
+    out = np.zeros(len(xty))
+    out[c], out[f] = delta, through[:, -1] - through[:, :-1] @ delta
+    return out, weight
+
+
+def solve_additive(xtx: np.ndarray, xty: np.ndarray, ridge: np.ndarray, params: dict) -> np.ndarray:
+    """Ridge on the trend changes, or with `changepoint_penalty`, a share from 0 to 1, few changes by a Laplace prior."""
+    share = params.get("changepoint_penalty")
+    if _none(share):
+        return solve_ridge(xtx, xty, ridge)
+    return solve_sparse(xtx, xty, ridge, trend_changes(params), float(share))[0]
+
+
 def additive(y: np.ndarray, horizon: int, step_s: int, params: dict) -> np.ndarray:
     n = len(y)
     if n < 2:
@@ -181,7 +237,7 @@ def additive(y: np.ndarray, horizon: int, step_s: int, params: dict) -> np.ndarr
     scale = float(max(n - 1, 1))
     x, ridge = additive_design(np.arange(n, dtype=float), step_s, scale, params)
     ahead, _ = additive_design(n + np.arange(horizon, dtype=float), step_s, scale, params)
-    return ahead @ solve_ridge(x.T @ x, x.T @ y, ridge)
+    return ahead @ solve_additive(x.T @ x, x.T @ y, ridge, params)
 
 
 def last_value(y: np.ndarray, horizon: int, step_s: int, params: dict) -> np.ndarray:
@@ -392,18 +448,10 @@ def normal_equations(df: DataFrame, design: dict[str, Column], y: str, keys: Seq
     return wide.select(*keys, F.explode(long).alias("_c")).select(*keys, "_c.i", "_c.j", "_c.value")
 
 
-def additive_forecast(split_df: DataFrame, params: dict, step_s: int, predict: str = "test",
-                      keys: Sequence[str] = ("series_id",)) -> DataFrame:
-    """Additive regression with distributed normal equations.
-
-    Every Arrow batch reduces its rows to one `XtX | Xty | yty` block per series; only these blocks are
-    shuffled, summed and solved. Forecast steps then meet the coefficients by (series, step chunk).
-    """
-    fit_end = {"val": F.col("n_train"), "test": F.col("n_train") + F.col("n_val")}[predict]
-    fit_splits = ["train"] if predict == "val" else ["train", "val"]
-    rows = split_df.withColumn("_n", fit_end).select(*keys, "split", "step_idx", "y", "_n")
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+def _additive_blocks(rows: DataFrame, params: dict, step_s: int, keys: Sequence[str]) -> DataFrame:
+    """`(keys…, step_idx, y, _n)` to one `XtX | Xty | yty | n` block per series and Arrow batch."""
     key_list = list(keys)
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -418,21 +466,67 @@ def additive_forecast(split_df: DataFrame, params: dict, step_s: int, predict: s
                 out["_n"], out["_block"] = n, [flat.tolist()]
                 yield out
 
+    return rows.select(*keys, "step_idx", "y", "_n").mapInPandas(blocks, key_schema + ", _n bigint, _block array<double>")
+
+
+def _equations(pdf: pd.DataFrame, params: dict, step_s: int):
+    """Sum of a series' blocks: XtX, Xty, yty, number of rows, and the ridge of the design."""
+    total = np.sum(np.stack(pdf["_block"].map(np.asarray).to_list()), axis=0)
+    n = int(pdf["_n"].iloc[0])
+    _, ridge = additive_design(np.zeros(1), step_s, float(max(n - 1, 1)), params)
+    k = len(ridge)
+    return total[: k * k].reshape(k, k), total[k * k: k * k + k], total[-2], total[-1], ridge
+
+
+def sparse_changes(df: DataFrame, params: dict, shares: Sequence[float], step_s: int,
+                   keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """Trend changes left at every penalty: `(keys…, penalty, n_changes, optimal)`, from one pass over the rows.
+
+    `optimal` says that the solution is one: the error's pull on every change that is there equals the penalty, and
+    none of those left out is pulled harder.
+    """
+    rows = df.withColumn("_n", F.col("n_steps"))
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        xtx, xty, _, _, ridge = _equations(pdf, params, step_s)
+        out = []
+        for share in shares:
+            changes = trend_changes(params)
+            beta, weight = solve_sparse(xtx, xty, ridge, changes, share)
+            delta, pull = beta[changes], (xty - xtx @ beta)[changes] - 1e-9 * beta[changes]
+            tight = 1e-5 * max(weight, 1e-12)
+            good = np.where(delta != 0, np.abs(pull - weight * np.sign(delta)) <= tight, np.abs(pull) <= weight + tight)
+            out.append([*pdf[list(keys)].iloc[0], float(share), int((delta != 0).sum()), bool(good.all())])
+        return pd.DataFrame(out, columns=[*keys, "penalty", "n_changes", "optimal"])
+
+    return _additive_blocks(rows, params, step_s, keys).groupBy(*keys).applyInPandas(
+        solve, key_schema + ", penalty double, n_changes bigint, optimal boolean")
+
+
+def additive_forecast(split_df: DataFrame, params: dict, step_s: int, predict: str = "test",
+                      keys: Sequence[str] = ("series_id",)) -> DataFrame:
+    """Additive regression with distributed normal equations.
+
+    Every Arrow batch reduces its rows to one `XtX | Xty | yty` block per series; only these blocks are
+    shuffled, summed and solved. Forecast steps then meet the coefficients by (series, step chunk).
+    """
+    fit_end = {"val": F.col("n_train"), "test": F.col("n_train") + F.col("n_val")}[predict]
+    fit_splits = ["train"] if predict == "val" else ["train", "val"]
+    rows = split_df.withColumn("_n", fit_end).select(*keys, "split", "step_idx", "y", "_n")
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    key_list = list(keys)
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum(np.stack(pdf["_block"].map(np.asarray).to_list()), axis=0)
-        n = int(pdf["_n"].iloc[0])
-        _, ridge = additive_design(np.zeros(1), step_s, float(max(n - 1, 1)), params)
-        k = len(ridge)
-        xtx, xty, yty, count = total[: k * k].reshape(k, k), total[k * k: k * k + k], total[-2], total[-1]
-        beta = solve_ridge(xtx, xty, ridge)
+        xtx, xty, yty, count, ridge = _equations(pdf, params, step_s)
+        beta = solve_additive(xtx, xty, ridge, params)
         residual = max(0.0, yty - 2 * beta @ xty + beta @ xtx @ beta) / max(1.0, count - 1)
         out = pdf[key_list].head(1).reset_index(drop=True)
         out["_beta"], out["_sigma"] = [beta.tolist()], float(np.sqrt(residual))
         return out
 
     fitted = (
-        rows.filter(F.col("split").isin(fit_splits)).select(*keys, "step_idx", "y", "_n")
-        .mapInPandas(blocks, key_schema + ", _n bigint, _block array<double>")
+        _additive_blocks(rows.filter(F.col("split").isin(fit_splits)), params, step_s, keys)
         .groupBy(*keys).applyInPandas(solve, key_schema + ", _beta array<double>, _sigma double")
     )
     target = rows.filter(F.col("split") == predict).select(*keys, "step_idx", "_n")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.functions import lag_for_step
 from tidegauge.operators.models import (
-    MODELS, Model, _choice, _flag, _none, _params, additive_design, filled, solve_ridge, split_sizes, spread, with_models,
+    MODELS, Model, _choice, _flag, _none, _params, additive_design, filled, solve_additive, split_sizes, spread, with_models,
 )
 from tidegauge.operators.smoothing import smooth_ahead, smooth_state
 from tidegauge.session import fresh_path
@@ -331,7 +331,7 @@ def _additive_walk(y, origins, step_s, params):
         xtx = np.block([[trend, mixed], [mixed.T, gram[np.ix_(use, use)]]])
         xty = np.concatenate([trend_y, cross[use]])
         _, ridge = additive_design(np.zeros(1), step_s, scale, params)
-        yield {"beta": solve_ridge(xtx, xty, ridge), "n": np.array([float(o)])}
+        yield {"beta": solve_additive(xtx, xty, ridge, params), "n": np.array([float(o)])}
 
 
 def _additive_fit(y, step_s, params):
@@ -339,7 +339,7 @@ def _additive_fit(y, step_s, params):
     if n < 2:
         raise ValueError("additive regression needs two points")
     x, ridge = additive_design(np.arange(n, dtype=float), step_s, float(max(n - 1, 1)), params)
-    return {"beta": solve_ridge(x.T @ x, x.T @ y, ridge), "n": np.array([float(n)])}
+    return {"beta": solve_additive(x.T @ x, x.T @ y, ridge, params), "n": np.array([float(n)])}
 
 
 def _additive_predict(state, horizon, step_s, params):

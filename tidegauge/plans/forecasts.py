@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tidegauge.operators import models, phases, select
 from tidegauge.operators.series import history_tail, regular_series, series_arrays
@@ -165,6 +165,21 @@ def forecast_additive(spark, folder):
     return models.additive_forecast(hourly_split(spark, folder), params, HOUR)
 
 
+PENALTIES = (0.02, 0.1, 0.4, 1.0)
+
+
+@query("trend_changes", f"""SELECT DISTINCT event_type AS series_id, unnest([{", ".join(f"{p}::DOUBLE" for p in PENALTIES)}]) AS penalty,
+  true AS optimal, true AS fewer FROM events""")
+def trend_changes(spark, folder):
+    """Few trend changes by a Laplace prior: every solution is one, and a larger penalty leaves no more of them; the full
+    penalty leaves none."""
+    found = models.sparse_changes(hourly(spark, folder), {"n_changepoints": "20", "yearly_seasonality": "false"}, PENALTIES, HOUR)
+    by_penalty = Window.partitionBy("series_id").orderBy("penalty")
+    before = F.coalesce(F.lag("n_changes").over(by_penalty), F.lit(20))
+    fewer = (F.col("n_changes") <= before) & ((F.col("penalty") < 1) | (F.col("n_changes") == 0))
+    return found.withColumn("fewer", fewer).drop("n_changes")
+
+
 @query("forecast_val_test")
 def forecast_val_test(spark, folder):
     return models.forecast_val_test(arrays(spark, folder), COMPONENTS, HOUR)
