@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.catalog import Policy
 from tidegauge.operators.ordered import CHUNK, time_chunk
+from tidegauge.session import fresh_path
 
 
 def _c(col) -> Column:
@@ -300,6 +301,11 @@ def scale_actions(events: DataFrame, policy: Policy, keys: Sequence[str] = ("nam
         *columns, more_r.alias("_up"), less_r.alias("_down"), more_m.alias("_grow"), less_m.alias("_shrink"),
         (more_m | less_m).alias("_vertical"), forced.alias("_forced"),
     )
+    # The clocks, the first rows of the keys and the rows themselves are read one by one: what they are computed from is
+    # evaluated once, and each reads its columns.
+    path = fresh_path(events.sparkSession, "recommended")
+    rows.write.parquet(path)
+    rows = events.sparkSession.read.schema(rows.schema).parquet(path)
     done = cooldown_accept(
         rows, keys, ts, order,
         {
