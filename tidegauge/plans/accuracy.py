@@ -10,7 +10,7 @@ from tidegauge.plans.registry import LAG, SPLIT, hourly_split, query, r6, s6
 
 SNAIVE = SPLIT + """,
 fc AS (
-  SELECT t.series_id, 'SeasonalNaive' AS model, t.split, t.step_idx, t.y, t.n_train, s.y AS y_hat
+  SELECT t.series_id, 'SeasonalNaive' AS model, t.split, t.step_idx, t.y, t.n_train, t.n_val, s.y AS y_hat
   FROM split t JOIN split s ON s.series_id = t.series_id
     AND ((t.split = 'val' AND s.step_idx = t.n_train - 24 + (t.step_idx - t.n_train) % 24)
       OR (t.split = 'test' AND s.step_idx = t.n_train + t.n_val - 24 + (t.step_idx - t.n_train - t.n_val) % 24)))"""
@@ -32,13 +32,13 @@ def forecast_errors(spark, folder):
 
 @query("forecast_chart_data", f"""WITH {SNAIVE}
 SELECT series_id, split, step_idx, {s6("y")} AS y, {s6("y_hat")} AS y_hat FROM fc
-WHERE split = 'val' AND step_idx - n_train < 200""")
+WHERE step_idx - n_train - CASE split WHEN 'test' THEN n_val ELSE 0 END < 200""")
 def forecast_chart_data(spark, folder):
     split = hourly_split(spark, folder)
-    val = snaive_forecast(split, LAG, predict=["val"])
-    sizes = split.filter(F.col("split") == "val").select("series_id", "step_idx", "y", "n_train")
-    joined = sizes.join(val, ["series_id", "step_idx"])
-    return analysis.chart_points(joined, 200, "n_train").select(
+    begins = F.col("n_train") + F.when(F.col("split") == "test", F.col("n_val")).otherwise(0)
+    actual = split.filter(F.col("split") != "train").select("series_id", "step_idx", "y", begins.alias("begins"))
+    joined = actual.join(snaive_forecast(split, LAG), ["series_id", "step_idx"])
+    return analysis.chart_points(joined, 200, "begins").select(
         "series_id", "split", "step_idx", r6("y").alias("y"), r6("y_hat").alias("y_hat")
     )
 

@@ -49,7 +49,7 @@ _KEY = "CASE WHEN model LIKE 'Ensemble%' THEN 'FFT+Prophet' ELSE model END"
 off AS (
   SELECT dataset_slug, model_key, arg_max(mae_cpu, (user_id, series_id)) AS mae_off,
     arg_max(r2_cpu, (user_id, series_id)) AS r2_off
-  FROM keyed WHERE user_id % 2 = 0 AND series_id <> 'signup' AND dataset_slug <> 'c-ram' GROUP BY ALL),
+  FROM keyed WHERE user_id % 2 = 0 GROUP BY ALL),
 onl AS (SELECT *, CASE WHEN dataset_slug LIKE '%-cpu' THEN mae_cpu ELSE mae_ram END AS mae_on,
     CASE WHEN dataset_slug LIKE '%-cpu' THEN r2_cpu ELSE r2_ram END AS r2_on FROM keyed WHERE user_id % 2 = 1)
 SELECT run_id, series_id, dataset_slug, model_key, {s6("mae_off")} AS "MAE_offline", {s6("mae_on")} AS "MAE_online",
@@ -58,9 +58,7 @@ SELECT run_id, series_id, dataset_slug, model_key, {s6("mae_off")} AS "MAE_offli
 FROM onl JOIN off USING (dataset_slug, model_key)""")
 def offline_vs_online(spark, folder):
     runs = run_table(spark, folder)
-    offline = runs.filter(
-        (F.col("user_id") % 2 == 0) & (F.col("series_id") != "signup") & (F.col("dataset_slug") != "c-ram")
-    ).select("dataset_slug", "model", F.struct("user_id", "series_id").alias("run_ts"), F.col("MAE_cpu").alias("MAE"),
+    offline = runs.filter(F.col("user_id") % 2 == 0).select("dataset_slug", "model", F.struct("user_id", "series_id").alias("run_ts"), F.col("MAE_cpu").alias("MAE"),
              F.col("RMSE_cpu").alias("RMSE"), F.col("R2_cpu").alias("R2"))
     online = runs.filter(F.col("user_id") % 2 == 1)
     out = ops.compare_runs(offline, online)

@@ -69,16 +69,14 @@ def pending_runs(spark, folder):
 
 @query("missing_stage", f"""WITH {CYCLES}, r AS (SELECT DISTINCT app, namespace FROM cyc),
 need(artifact, stage) AS (VALUES ('splits', 'data'), ('trials', 'tuning'), ('forecasts', 'results')),
-have AS (SELECT DISTINCT app, namespace, CASE model_name WHEN 'ExponentialSmoothing' THEN 'splits' WHEN 'Prophet' THEN 'trials'
-  ELSE 'forecasts' END AS artifact FROM cyc WHERE user_id % 7 = event_id % 3 AND length(namespace) + event_id % 400 < 30)
+have AS (SELECT app, namespace, CASE model_name WHEN 'ExponentialSmoothing' THEN 'splits' WHEN 'Prophet' THEN 'trials'
+  ELSE 'forecasts' END AS artifact FROM cyc GROUP BY ALL HAVING max(event_id) % 3 <> 0)
 SELECT app, namespace, artifact, stage FROM r, need WHERE (app, namespace, artifact) NOT IN (SELECT app, namespace, artifact FROM have)""")
 def missing_stage(spark, folder):
     rows = cycles(spark, folder)
-    written = rows.filter(
-        (F.col("user_id") % 7 == F.col("event_id") % 3) & (F.length("namespace") + F.col("event_id") % 400 < 30)
-    )
     artifact = F.when(F.col("model_name") == "ExponentialSmoothing", "splits").when(
         F.col("model_name") == "Prophet", "trials").otherwise("forecasts")
-    have = written.select("app", "namespace", artifact.alias("artifact")).distinct()
+    last = rows.groupBy("app", "namespace", artifact.alias("artifact")).agg(F.max("event_id").alias("last"))
+    have = last.filter(F.col("last") % 3 != 0)
     required = {"splits": "data", "trials": "tuning", "forecasts": "results"}
     return analysis.missing_stages(rows.select("app", "namespace").distinct(), have, required, ["app", "namespace"])

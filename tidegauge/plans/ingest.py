@@ -78,17 +78,17 @@ def usage_files(spark, folder):
 
 
 @query("usage_union", f"""WITH {MINUTE}
-SELECT instance, ts, {s6("value")} AS value FROM mu WHERE app = 'B'""")
+SELECT app, instance, ts, {s6("value")} AS value FROM mu""")
 def usage_union(spark, folder):
-    """Monthly tables of app B one below the other; the second one lacks no row and repeats none."""
-    wide = wide_usage(spark, folder, "B")
-    cut = F.unix_millis(F.lit(CUT).cast("timestamp"))
-    parts = [wide.filter(F.col("timestamp") < cut), wide.filter(F.col("timestamp") >= cut)]
-    united = usage.unify(parts)
-    long = usage.unpivot_instances(united, ["timestamp_date_format"], INSTANCES["B"])
-    return long.filter(F.col("value").isNotNull()).select(
-        "instance", out_ts("timestamp_date_format").alias("ts"), r6("value").alias("value")
-    )
+    """Monthly tables of every app one below the other; the second one lacks no row and repeats none."""
+    cut, out = F.unix_millis(F.lit(CUT).cast("timestamp")), None
+    for app, names in INSTANCES.items():
+        wide = wide_usage(spark, folder, app)
+        united = usage.unify([wide.filter(F.col("timestamp") < cut), wide.filter(F.col("timestamp") >= cut)])
+        long = usage.unpivot_instances(united, ["timestamp_date_format"], names).filter(F.col("value").isNotNull()).select(
+            F.lit(app).alias("app"), "instance", out_ts("timestamp_date_format").alias("ts"), r6("value").alias("value"))
+        out = long if out is None else out.unionByName(long)
+    return out
 
 
 _FILE = """CASE WHEN k % 9 = 0 THEN 'usage_application_Z_CPU_hist.csv' WHEN k % 9 = 1 THEN 'notes.csv'
@@ -113,14 +113,14 @@ def series_identity(spark, folder):
 
 
 @query("split_table", f"""WITH {SPLIT}
-SELECT series_id, split, count(*) AS n_rows, {s6("avg(y)")} AS mean_y FROM split WHERE split <> 'train' GROUP BY ALL""")
+SELECT series_id, split, count(*) AS n_rows, {s6("avg(y)")} AS mean_y FROM split GROUP BY ALL""")
 def split_table(spark, folder):
-    """Splits written once and read back; the filter on the split prunes the training files."""
+    """Splits written once, partitioned by split, and read back."""
     out = fresh_path(spark, "splits")
     split = hourly_split(spark, folder)
     tables.write_splits(split, ops.split_meta(split), out)
     splits, _ = tables.read_splits(spark, out)
-    return splits.filter(F.col("split") != "train").groupBy("series_id", "split").agg(
+    return splits.groupBy("series_id", "split").agg(
         F.count(F.lit(1)).alias("n_rows"), r6(F.avg("y")).alias("mean_y")
     )
 
@@ -143,12 +143,11 @@ def tuning_trials(spark, folder):
 
 
 @query("forecast_table", f"""WITH {SNAIVE}
-SELECT series_id, model, step_idx, {s6("y_hat")} AS y_hat FROM fc WHERE split = 'test'""")
+SELECT series_id, model, split, step_idx, {s6("y_hat")} AS y_hat FROM fc""")
 def forecast_table(spark, folder):
     out = fresh_path(spark, "forecasts")
     tables.write_forecasts(snaive_forecast(hourly_split(spark, folder), LAG), out)
-    back = tables.read_forecasts(spark, out).filter(F.col("split") == "test")
-    return back.select("series_id", "model", "step_idx", r6("y_hat").alias("y_hat"))
+    return tables.read_forecasts(spark, out).select("series_id", "model", "split", "step_idx", r6("y_hat").alias("y_hat"))
 
 
 @query("event_route", f"""WITH {CYCLES}

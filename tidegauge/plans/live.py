@@ -143,7 +143,7 @@ def restart_spike(spark, folder):
 
 @query("cpu_ram_align", f"""WITH c AS (
   SELECT user_id % 3 AS app_id, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2024-01-01') AS ts, avg(value) AS cpu
-  FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL),
+  FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY ALL),
 r AS (
   SELECT user_id % 3 AS app_id, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '2024-01-01') AS ts, avg(value) AS ram
   FROM events WHERE event_type IN ('error', 'signup') GROUP BY ALL)
@@ -152,7 +152,7 @@ def cpu_ram_align(spark, folder):
     rows = events(spark, folder).select(
         (F.col("user_id") % 3).alias("app_id"), "ts", F.col("value").alias("y"), "event_type"
     )
-    cpu = resample(rows.filter(F.col("event_type").isin("click", "view")), 3600, ["app_id"])
+    cpu = resample(rows.filter(F.col("event_type").isin("click", "view", "purchase")), 3600, ["app_id"])
     ram = resample(rows.filter(F.col("event_type").isin("error", "signup")), 3600, ["app_id"])
     return analysis.align_metrics(cpu, ram, ["app_id"]).select(
         "app_id", out_ts("ts").alias("ts"), r6("cpu").alias("cpu"), r6("ram").alias("ram")

@@ -295,13 +295,12 @@ def timeline_memory(spark, folder):
 
 
 @query("resume_index", f"""WITH {CYCLES}, runs AS (SELECT DISTINCT app, model_name, namespace FROM cyc),
-c AS (SELECT app, model_name, namespace, count(*) FILTER (phase = 'evaluation' AND event_id % 3 = 0) AS e,
+c AS (SELECT app, model_name, namespace, count(*) FILTER (phase = 'evaluation') AS e,
   count(*) FILTER (phase = 'warmup') AS w FROM cyc GROUP BY ALL)
 SELECT app, model_name, namespace, CASE WHEN e > 0 THEN CASE WHEN app = 'A' THEN 168 ELSE 252 END + e ELSE w END::BIGINT
   AS start_index, e + w > 0 AS valid FROM runs JOIN c USING (app, model_name, namespace)""")
 def resume_index(spark, folder):
     keys = ["app", "model_name", "namespace"]
     rows = cycles(spark, folder).select(*keys, "phase", "event_id")
-    seen = rows.filter((F.col("phase") == "warmup") | (F.col("event_id") % 3 == 0))
     warmup = F.when(F.col("app") == "A", 168).otherwise(252)
-    return analysis.resume_index(seen, rows.select(*keys).distinct(), warmup, keys)
+    return analysis.resume_index(rows, rows.select(*keys).distinct(), warmup, keys)
