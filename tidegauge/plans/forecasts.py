@@ -7,9 +7,10 @@ import math
 from pyspark.sql import Window, functions as F
 
 from tidegauge.operators import models, phases, select
-from tidegauge.operators.series import history_tail, regular_series, series_arrays
+from tidegauge.functions import lag_for_step
+from tidegauge.operators.series import gap_fill, history_tail, resample, series_arrays
 from tidegauge.plans.registry import (
-    HOUR, HOURLY, SPLIT, events, hourly, hourly_split, query, r6, s6,
+    HOUR, HOURLY, POLICY, SPLIT, events, hourly, hourly_split, query, r6, s6,
 )
 from tidegauge.session import fresh_path
 
@@ -185,17 +186,44 @@ def forecast_val_test(spark, folder):
     return models.forecast_val_test(arrays(spark, folder), COMPONENTS, HOUR)
 
 
-@query("online_forecast")
-def online_forecast(spark, folder):
-    """Last 500 raw points per series and instance, put on the live grid, one step ahead with fallback."""
+LIVE_S = 900
+LIVE_KEYS = ["series_id", "instance"]
+
+
+def live_arrays(spark, folder):
+    """The last 500 ticks of every series and instance on the live grid."""
     raw = events(spark, folder).select(
-        F.col("event_type").alias("series_id"), (F.col("user_id") % 8).alias("instance"), "ts", "event_id",
-        F.col("value").alias("y"),
+        F.col("event_type").alias("series_id"), (F.col("user_id") % 8).alias("instance"), "ts", F.col("value").alias("y"),
     )
-    keys = ["series_id", "instance"]
-    tail = history_tail(raw, 500, keys, ["ts", "event_id"])
-    live = series_arrays(regular_series(tail, 900, "both", keys), keys)
-    return models.forecast_next(live, "ExponentialSmoothing", {"trend": "none"}, 900, keys)
+    ticks = resample(raw, LIVE_S, LIVE_KEYS)
+    return series_arrays(gap_fill(history_tail(ticks, POLICY.max_history_points, LIVE_KEYS), LIVE_S, "both", LIVE_KEYS), LIVE_KEYS)
+
+
+@query("online_forecast")
+def online_forecast(spark, folder):
+    """One step ahead of the live history, with fallback."""
+    return models.forecast_next(live_arrays(spark, folder), "ExponentialSmoothing", {"trend": "none"}, LIVE_S, LIVE_KEYS)
+
+
+_DAY = lag_for_step(LIVE_S, generalize=True)
+
+
+@query("online_next", f"""WITH tk AS (
+  SELECT event_type AS series_id, user_id % 8 AS instance, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '2024-01-01') AS b,
+    avg(value) AS y FROM events GROUP BY ALL),
+h AS (SELECT * FROM tk QUALIFY row_number() OVER (PARTITION BY series_id, instance ORDER BY b DESC) <= 500),
+x AS (SELECT *, lead(b) OVER w AS nb, lead(y) OVER w AS ny, epoch(max(b) OVER k - min(b) OVER k) // {LIVE_S} + 1 AS n,
+    max(b) OVER k - INTERVAL '{(_DAY - 1) * LIVE_S} seconds' AS day_ago, last_value(y) OVER (
+      PARTITION BY series_id, instance ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_y
+  FROM h WINDOW k AS (PARTITION BY series_id, instance), w AS (PARTITION BY series_id, instance ORDER BY b)),
+s AS (SELECT series_id, instance, y + coalesce((ny - y) * (epoch(day_ago - b) / epoch(nb - b)), 0) AS then_y
+  FROM x WHERE n >= {_DAY} AND b <= day_ago AND (nb > day_ago OR nb IS NULL))
+SELECT series_id, instance, any_value(n)::INTEGER AS n_points, {s6("greatest(0, coalesce(any_value(then_y), any_value(last_y)))")} AS y_hat
+FROM x LEFT JOIN s USING (series_id, instance) GROUP BY ALL""")
+def online_next(spark, folder):
+    """One step ahead by the value a day before, the lag of the live grid."""
+    out = models.forecast_next(live_arrays(spark, folder), "SeasonalNaive", {}, LIVE_S, LIVE_KEYS)
+    return out.select("series_id", "instance", "n_points", r6("y_hat").alias("y_hat"))
 
 
 @query("tune_grid")

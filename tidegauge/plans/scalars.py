@@ -242,3 +242,19 @@ FROM series JOIN cap ON cap.app = series.series_id GROUP BY 1""")
 def trace_peak(spark, folder):
     cores = catalog.lookup(F.col("app"), 1) * catalog.lookup(F.col("app"), 0)
     return traces.trace_peak(traces.cpu_trace(_cpu_series(spark, folder), cores, 297, 168))
+
+
+@query("seasonal_lags", """WITH t AS (SELECT event_id, [3600, 2400, 900, 60, 43200][user_id % 5 + 1] AS step_s FROM events)
+SELECT event_id, step_s::BIGINT AS step_s, CASE step_s WHEN 3600 THEN 24 WHEN 2400 THEN 36 ELSE 1 END::INTEGER AS known_lag,
+  CASE step_s WHEN 3600 THEN 24 WHEN 2400 THEN 36 ELSE 86400 // step_s END::INTEGER AS day_lag FROM t""")
+def seasonal_lags(spark, folder):
+    """Steps per day of a grid: of the two known ones, and of any."""
+    steps = F.array(*[F.lit(s).cast("bigint") for s in (3600, 2400, 900, 60, 43200)])
+    rows = events(spark, folder).select("event_id", F.element_at(steps, (F.col("user_id") % 5 + 1).cast("int")).alias("step_s"))
+    return rows.select("event_id", "step_s", fn.seasonal_lag("step_s").alias("known_lag"), fn.seasonal_lag("step_s", True).alias("day_lag"))
+
+
+@query("clamped_prediction", f"SELECT event_id, {s6('greatest(0, value - 100)')} AS y_hat FROM events")
+def clamped_prediction(spark, folder):
+    """Predictions below zero become zero."""
+    return events(spark, folder).select("event_id", r6(fn.non_negative(F.col("value") - 100)).alias("y_hat"))
