@@ -169,3 +169,11 @@ def test_unknown_usage_is_an_error(spark, app, metric):
                                "app string, metric string, instance string, ts timestamp, value double")
     with pytest.raises(Exception, match="unknown"):
         ops.to_usage(df, catalog.capacity(spark)).collect()
+
+
+@pytest.mark.parametrize("direction", ["forward", "both"])
+def test_series_without_a_known_bin_keeps_its_grid(spark, direction):
+    rows = [("none", T0 + dt.timedelta(hours=h), None) for h in (0, 3)] + [("some", T0, 1.0), ("some", T0 + dt.timedelta(hours=2), None)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp, y double")
+    got = {(r.series_id, r.step_idx): (r.y, r.n_steps) for r in ops.gap_fill(df, 3600, direction, chunk_steps=2).collect()}
+    assert got == {**{("none", i): (None, 4) for i in range(4)}, **{("some", i): (1.0, 3) for i in range(3)}}

@@ -69,8 +69,8 @@ def gap_fill(df: DataFrame, step_s: int, direction: str = "forward", keys: Seque
     """Complete grid from the first to the last bin with linear interpolation between known bins.
 
     `forward` leaves leading unknown bins null, `both` gives them the first known value; trailing
-    unknown bins repeat the last one. Each known bin emits the steps up to the next known bin, so no
-    grid is joined and the work is per (key, time chunk).
+    unknown bins repeat the last one; a series without a known bin keeps its grid, with nulls. Each known bin emits the
+    steps up to the next known bin, so no grid is joined and the work is per (key, time chunk).
     """
     if direction not in ("forward", "both"):
         raise ValueError(f"direction must be forward or both, got {direction}")
@@ -97,8 +97,8 @@ def gap_fill(df: DataFrame, step_s: int, direction: str = "forward", keys: Seque
     within = Window.partitionBy(*part).orderBy("_b")
     near = F.coalesce(F.lead(row).over(within), F.col("_carry"))
     spans = (
-        rows.filter(known)
-        .join(carry, part)
+        rows.join(carry, part)
+        .filter(known | (F.col("_first").isNull() & (F.col("_b") == F.col("_start"))))
         .withColumn("_next", near)
         .select(
             *keys, "_b", "_y", "_start",
