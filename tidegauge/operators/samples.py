@@ -132,6 +132,18 @@ def gauge_range(df: DataFrame, source: Sequence[str], start, end, step_s: int, b
     return hits.groupBy(*by, F.timestamp_micros("_t").alias("ts")).agg((F.sum(value) / divide_by).alias("value"))
 
 
+def bootstrap(counters: DataFrame, gauges: DataFrame, source: Sequence[str], start, end, step_s: int, by: Sequence[str],
+              scales: dict[str, float], window_s: int = 60, lookback_s: int = 300, order: Sequence[str] = ("ts",),
+              divide_by: float = BYTES_PER_GB) -> DataFrame:
+    """History both metrics begin with: `(by…, metric, ts, value)` by range evaluation over the time before the loop,
+    rescaled from the test machine to the real one. A metric without samples has no row."""
+    cpu = rate_range(counters, source, start, end, step_s, by, window_s, order)
+    ram = gauge_range(gauges, source, start, end, step_s, by, lookback_s, order, divide_by=divide_by)
+    parts = [df.select(*by, F.lit(m).alias("metric"), "ts", (F.col("value") * F.lit(float(scales[m]))).alias("value"))
+             for m, df in (("cpu", cpu), ("ram", ram))]
+    return parts[0].unionByName(parts[1])
+
+
 def instant_value(groups: DataFrame, values: DataFrame, by: Sequence[str]) -> DataFrame:
     """Value of an instant evaluation per group, 0.0 where the evaluation is empty."""
     return groups.select(*by).distinct().join(values.select(*by, "value"), list(by), "left").select(

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidegauge.operators import analysis, select, walk
+from tidegauge.operators import analysis, phases, select, walk
+from tidegauge.operators.models import register_model
 from tidegauge.plans.forecasts import COMPONENTS, arrays
-from tidegauge.plans.registry import CYCLES, HOUR, LAG, SPLIT, cycles, hourly_split, query, r6, s6
+from tidegauge.plans.registry import CYCLES, HOUR, HOURLY, LAG, SPLIT, cycles, hourly_split, query, r6, s6
+from tidegauge.session import fresh_path
+from tidegauge.sources import tables
 
 BACKWARD, FORWARD = 36, 24
 SIMPLE = ["SeasonalNaive", "LastValue", "Mean", "Drift"]
@@ -146,6 +150,36 @@ def ensemble_timings(spark, folder):
     return done.select("series_id", "evaluations", ((F.col("fit_s") > 0) & (F.col("predict_s") > 0)).alias("timed"))
 
 
+@query("timings_table", f"""WITH {SPLIT}
+SELECT DISTINCT series_id, unnest({list(FEW)}) AS model, true AS timed, true AS halves FROM split""")
+def timings_table(spark, folder):
+    """Fit and predict seconds of both hold-out parts, each by its own clock, written and read back."""
+    log = phases.phase_timings(arrays(spark, folder), FEW, HOUR)
+    out = fresh_path(spark, "results")
+    tables.write_timings(analysis.fit_timings(log, ["series_id", "model"]), out)
+    back = tables.read_timings(spark, out)
+    timed = (F.col("FIT_TIME_TOTAL") > 0) & (F.col("PREDICT_TIME_TOTAL") > 0)
+    halves = F.abs(F.col("FIT_TIME_TOTAL") - 2 * F.col("FIT_TIME_AVG")) < 1e-9
+    return back.select("series_id", "model", timed.alias("timed"), halves.alias("halves"))
+
+
+def day_median(y, horizon, step_s, params):
+    """A user's model: the median of the last day."""
+    return np.full(horizon, np.median(y[-(86400 // step_s):]))
+
+
+@query("user_model", f"""WITH {HOURLY}
+SELECT series_id, any_value(n_steps) + h AS step_idx, {s6("median(y)")} AS y_hat
+FROM series, (SELECT unnest(generate_series(0::BIGINT, 5)) AS h) WHERE step_idx >= n_steps - 24 GROUP BY series_id, h""")
+def user_model(spark, folder):
+    """A model a user registers takes part like any other: fitted, stored and read for the prediction."""
+    register_model("DayMedian", day_median)
+    path = fresh_path(spark, "user-model")
+    phases.write_models(phases.fit_models(arrays(spark, folder), {"DayMedian": {}}, HOUR), path)
+    done = phases.predict_models(spark.read.parquet(path), 6, HOUR)
+    return done.select("series_id", "step_idx", r6("y_hat").alias("y_hat"))
+
+
 @query("ensemble_online")
 def ensemble_online(spark, folder):
     return select.ensemble_select_online(arrays(spark, folder), COMPONENTS, LAG, HOUR)

@@ -86,6 +86,26 @@ def gauge_sum(spark, folder):
     return out.select("namespace", out_ts("ts").alias("ts"), r6("value").alias("value"))
 
 
+@query("bootstrap_range", f"""{_RANGE.split("SELECT namespace, t AS ts")[0].rstrip()},
+n AS (SELECT user_id % 5 AS namespace, user_id AS pod, ts, value * 1000000 AS v, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nts
+  FROM events WHERE ts > TIMESTAMP '{START}' - INTERVAL '{WINDOW_S} seconds' AND ts <= TIMESTAMP '{END}')
+SELECT namespace, 'cpu' AS metric, t AS ts, {s6(f"sum(CASE WHEN value >= pv THEN value - pv ELSE value END) / {WINDOW_S} * 9.6::DOUBLE")} AS value
+FROM p JOIN g ON p.ts <= t AND p.pts > t - INTERVAL '{WINDOW_S} seconds' GROUP BY ALL
+UNION ALL
+SELECT namespace, 'ram', t, {s6("sum(v) / 1073741824.0::DOUBLE * 48.0::DOUBLE")}
+FROM n JOIN g ON n.ts <= t AND n.ts > t - INTERVAL '{WINDOW_S} seconds' AND (nts IS NULL OR nts > t) GROUP BY ALL""")
+def bootstrap_range(spark, folder):
+    """Warm start of both metrics of every namespace by range evaluation, rescaled to the capacity of the real system."""
+    source, order = ["namespace", "pod"], ["ts", "event_id"]
+    gauges = events(spark, folder, LOOKBACK_START, END).select(
+        (F.col("user_id") % 5).alias("namespace"), F.col("user_id").alias("pod"), "ts", "event_id",
+        (F.col("value") * 1000000).alias("value"),
+    )
+    out = samples.bootstrap(counters(spark, folder), gauges, source, START, END, STEP_S, ["namespace"],
+                            {"cpu": 48 / 5, "ram": 384 / 8}, WINDOW_S, WINDOW_S, order)
+    return out.select("namespace", "metric", out_ts("ts").alias("ts"), r6("value").alias("value"))
+
+
 @query("metric_instant", f"""WITH {COUNTERS}, win AS (
   SELECT * FROM cnt WHERE ts > TIMESTAMP '{END}' - INTERVAL '{WINDOW_S} seconds' AND ts <= TIMESTAMP '{END}'),
 p AS (

@@ -61,6 +61,18 @@ def read_forecasts(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(require(spark, f"{folder}/forecasts", "results"))
 
 
+TIMINGS_SCHEMA = "model string, FIT_TIME_TOTAL double, PREDICT_TIME_TOTAL double, FIT_TIME_AVG double, PREDICT_TIME_AVG double"
+
+
+def write_timings(timings: DataFrame, folder: str) -> None:
+    """Seconds of the results stage, one row per series and model."""
+    timings.write.mode("overwrite").json(f"{folder}/timings")
+
+
+def read_timings(spark: SparkSession, folder: str, keys: str = "series_id string") -> DataFrame:
+    return spark.read.schema(f"{keys}, {TIMINGS_SCHEMA}").json(require(spark, f"{folder}/timings", "results"))
+
+
 def write_events(events: DataFrame, folder: str, mode: str = "append") -> None:
     """Warm-up and evaluation rows land in partitions of their own; evaluation reads never touch warm-up."""
     events.write.mode(mode).partitionBy("phase").parquet(f"{folder}/events")
