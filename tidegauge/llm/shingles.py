@@ -2,25 +2,50 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-import xxhash
 
-WORDS_KEPT = 1_000_000
-_words: dict[bytes, int] = {}
+_random = np.random.default_rng(20240229).integers(1, 1 << 63, 257, dtype=np.uint64)
+SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+LETTER = np.where(SPACES, np.uint64(0), _random[:256])  # a number for every byte, none for white space
+FACTOR = _random[256] | np.uint64(1)
+BITS = 12
+NEAR = np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << BITS) - 1, FACTOR)]), dtype=np.uint64)  # powers of the factor
+BLOCK = 1 << 20  # bytes hashed at once
+_space = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+def _hash_block(text: bytes) -> np.ndarray:
+    b = np.frombuffer(text, np.uint8)
+    space = SPACES[b]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    start = np.flatnonzero(begins)
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    inside = np.arange(start[0], len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
+    weight = NEAR[inside & ((1 << BITS) - 1)]
+    if inside[-1] >> BITS or len(b) >> BITS and (inside >> BITS).any():  # a word longer than the table
+        far = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(b) >> BITS, NEAR[-1] * FACTOR)]), dtype=np.uint64)
+        weight = weight * far[inside >> BITS]
+    return mix(np.add.reduceat(LETTER[b[start[0]:]] * weight, start - start[0]))
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """Hash of every word; words stand between the ASCII white space characters."""
-    words = text.split()
-    try:
-        return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(_words) > WORDS_KEPT:
-            _words.clear()
-        for w in words:
-            if w not in _words:
-                _words[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    """Hash of every word; words stand between the ASCII white space characters.
+
+    A polynomial over random numbers for the bytes, all words at once; long texts go block by block, cut between words.
+    """
+    out, low = [], 0
+    while low < len(text):
+        high = len(text)
+        if low + BLOCK < high:
+            gap = _space.search(text, low + BLOCK)
+            high = gap.start() if gap else high
+        out.append(_hash_block(text[low:high]))
+        low = high
+    return out[0] if len(out) == 1 else np.concatenate([*out, np.zeros(0, np.uint64)])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -43,4 +68,7 @@ def runs(words: np.ndarray, n: int) -> np.ndarray:
 def shingle_set(text: bytes, n: int) -> np.ndarray:
     """Sorted distinct n-word shingles of a text whose A-Z count as a-z; a shorter text is one shingle."""
     words = word_hashes(text.lower())  # bytes: only ASCII letters change
-    return np.unique(runs(words, min(n, len(words)))) if len(words) else words
+    if not len(words):
+        return words
+    out = np.sort(runs(words, min(n, len(words))))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
