@@ -6,11 +6,12 @@
    equal size are one group, and only groups are indexed: group pairs come from the lists of their prefix shingles
    and must pass the size and position filters.
 3. Groups are expanded and their members verified on whole sets. In a list and in a group everything is first
-   compared with a leader, which is linear in their size; links found so far make components. Then every remaining
-   pair of a list or group whose members lie in different components is verified. A pair inside one component needs
-   no verification, as its link would change nothing, nor does one whose sketches differ in more bits than linked sets
-   have different shingles; so no link between components is lost and a group of copies of
-   any size never becomes all its pairs.
+   compared with a leader, which is linear in their size; links found so far make components. Then every member is
+   compared with those of other components whose sketches are nearest to its own, which joins nearly all of a group of
+   near copies, and at last every remaining pair of a list or group whose members lie in different components is
+   verified. A pair inside one component needs no verification, as its link would change nothing, nor does one whose
+   sketches differ in more bits than linked sets have different shingles; so no link between components is lost and a
+   group of copies of any size never becomes all its pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ BUCKETS = 1 << 20  # of the frequency table, whatever the size of the corpus
 STRIP = 1 << 12  # buckets that travel as one row
 SKETCH = 8  # longs of a set's sketch: one bit per bucket of shingles, set if it has an odd number of them
 LEADERS = 4  # of a list, and orders in which they are taken
+NEAREST = 3  # members of other components each one is compared with before the rest
+NEAR_ROWS = 4096  # of a list among which the nearest are looked for
 
 
 @dataclass(frozen=True)
@@ -210,15 +213,108 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rule: Simil
     return written(docs.sparkSession, both.mapInArrow(verify, "a binary, b binary"), "verified")
 
 
-def _rest(members: DataFrame, lists: DataFrame, tried: DataFrame, root: DataFrame, rule: Similarity) -> DataFrame:
-    """Pairs of a list or a group whose classes lie in different components and that were not tried yet."""
-    of = members.join(root, "class", "left").select("class", "grp", "n", "sketch", F.coalesce("root", "class").alias("root"))
+def _listed(members: DataFrame, lists: DataFrame, root: DataFrame) -> DataFrame:
+    """Rows of all lists and groups, `(list, own, pos, class, n, sketch, root)`, with the component of every class."""
+    of = members.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
     # A group is one list more: equal prefixes share every position, so only the component tells its pairs apart.
     inside = of.select(F.col("grp").alias("list"), F.lit(True).alias("own"), F.lit(0).alias("pos"), "class", "n", "sketch", "root")
-    rows = lists.select(F.col("token").alias("list"), F.lit(False).alias("own"), "pos", "grp").join(
-        of, "grp").select("list", "own", "pos", "class", "n", "sketch", "root").unionByName(inside)
-    mixed = rows.groupBy("list", "own").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    rows = written(members.sparkSession, rows.join(mixed.select("list", "own"), ["list", "own"], "left_semi"), "mixed-lists")
+    return lists.select(F.col("token").alias("list"), F.lit(False).alias("own"), "pos", "grp").join(of, "grp").select(
+        "list", "own", "pos", "class", "n", "sketch", "root").unionByName(inside)
+
+
+NEAR = "a binary, b binary, list long, own boolean"
+
+
+def _nearest(rows: DataFrame, rule: Similarity) -> DataFrame:
+    """Up to NEAREST pairs `(a, b)` of every row of a list: with the members of other components that may link with it and
+    whose sketches differ least from its own, told once a task; and the lists `(list, own)` that hold more such pairs.
+
+    A list of more than NEAR_ROWS rows is looked at in parts and counts as holding more.
+    """
+
+    def pairs(t: pa.Table, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows i < j of all pairs in the lists that end at `ends` which may link, and how far their sketches are."""
+        names, where = np.unique(np.array(t.column("root").to_pylist(), dtype="S16"), return_inverse=True)
+        n, pos = t.column("n").to_numpy().astype(np.int64), t.column("pos").to_numpy().astype(np.int64)
+        sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
+        end = np.repeat(ends, np.diff(ends, prepend=0))
+        found, i, step = [], np.arange(len(n)), 1
+        while True:
+            i = i[i + step < end[i]]
+            if not len(i):
+                break
+            j = i + step
+            both = n[i] + n[j]
+            ok = (where[i] != where[j]) & (100 * np.minimum(n[i], n[j]) >= rule.percent * np.maximum(n[i], n[j]))
+            ok &= (100 + rule.percent) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= rule.percent * both
+            x, y, total = i[ok], j[ok], both[ok]
+            differ = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
+            ok = (100 + rule.percent) * differ <= (100 - rule.percent) * total
+            found.append((x[ok], y[ok], differ[ok] / total[ok]))
+            step += 1
+        if not found:
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[bytes, bytes]] = set()
+        held: list[pa.RecordBatch] = []  # whole lists, or parts of one
+        ends: list[int] = []
+        keys: list[tuple[int, bool]] = []
+        cut: set[tuple[int, bool]] = set()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            x, y, far = pairs(t, np.array(ends))
+            row, order = np.concatenate([x, y]), np.concatenate([far, far])
+            at = np.lexsort((order, row))
+            row = row[at]
+            first = np.searchsorted(row, row)
+            chosen = np.zeros(len(x), bool)
+            chosen[(at % max(len(x), 1))[np.arange(len(at)) - first < NEAREST]] = True
+            classes = t.column("class").to_pylist()
+            new = {tuple(sorted((classes[i], classes[j]))) for i, j in zip(x[chosen], y[chosen])} - told
+            if len(told) > 200_000:
+                told.clear()
+            told.update(new)
+            more = {keys[k] for k in np.unique(np.searchsorted(ends, x[~chosen], "right"))} | cut
+            cut.clear()
+            if new or more:
+                none, nothing = [None] * len(more), [None] * len(new)
+                yield pa.record_batch([
+                    pa.array([a for a, _ in new] + none, pa.binary()), pa.array([b for _, b in new] + none, pa.binary()),
+                    pa.array(nothing + [k for k, _ in more], pa.int64()), pa.array(nothing + [o for _, o in more], pa.bool_()),
+                ], names=[f.split()[0] for f in NEAR.split(", ")])
+
+        size, current, own_size = 0, None, 0
+        for batch in tables(batches):
+            lists, own = batch.column("list").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False)
+            low = 0
+            for high in [*(np.flatnonzero((lists[1:] != lists[:-1]) | (own[1:] != own[:-1])) + 1).tolist(), len(lists)]:
+                key = (int(lists[low]), bool(own[low]))
+                while low < high:
+                    if key != current or own_size >= NEAR_ROWS:
+                        if key == current:
+                            cut.add(key)
+                        if size >= 8 * NEAR_ROWS:
+                            yield from done()
+                            held, ends, keys, size = [], [], [], 0
+                        current, own_size = key, 0
+                        ends.append(size)
+                        keys.append(key)
+                    take = min(high - low, NEAR_ROWS - own_size)
+                    held.append(batch.slice(low, take))
+                    size, own_size, low = size + take, own_size + take, low + take
+                    ends[-1] = size
+        if held:
+            yield from done()
+
+    ordered = rows.repartition("list", "own").sortWithinPartitions("list", "own", "n", "class")
+    return ordered.mapInArrow(near, NEAR)
+
+
+def _rest(rows: DataFrame, tried: DataFrame, rule: Similarity) -> DataFrame:
+    """Pairs of a list or a group whose classes lie in different components and that were not tried yet."""
     x = rows.select("list", "own", *(F.col(c).alias(f"x_{c}") for c in ("pos", "class", "n", "sketch", "root")))
     y = rows.select("list", "own", *(F.col(c).alias(f"y_{c}") for c in ("pos", "class", "n", "sketch", "root")))
     # At most this many shingles are shared if the one at hand is the first in common.
@@ -233,6 +329,19 @@ def _rest(members: DataFrame, lists: DataFrame, tried: DataFrame, root: DataFram
         tried, ["a", "b"], "left_anti")
 
 
+def _joined(root: DataFrame, links: DataFrame) -> DataFrame:
+    """`class, root` after more links: only the roots they lie between are joined anew."""
+    if not links.take(1):
+        return root
+    a, b = (root.select(F.col("class").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
+    between = links.join(a, "a", "left").join(b, "b", "left").select(
+        F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    above = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = root.join(above, "root", "left").select("class", F.coalesce("top", "root").alias("root"))
+    new = above.join(root.select(F.col("class").alias("root")), "root", "left_anti")
+    return written(root.sparkSession, moved.union(new.select(F.col("root").alias("class"), F.col("top").alias("root"))), "roots")
+
+
 def link(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
     """`doc_id, text_key, n_shingles, component_id` per row of `docs`; `text_key` is the hash of its text.
 
@@ -266,12 +375,17 @@ def link(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
             for c, p in (("a", "x"), ("b", "y")))
     stars = written(spark, stars.join(x, "a").join(y, "b").where(_close("x_sketch", "y_sketch", rule)).select("a", "b"),
                     "stars")
-    links = _verified(stars, docs, classes, rule)
-    root = components(links).select(F.col("node").alias("class"), "root")
-    rest = written(spark, _rest(classes.select("class", "grp", "n", "sketch"), lists, stars, root, rule), "rest")
-    more = _verified(rest, docs, classes, rule)
-    if more.take(1):
-        root = components(links.union(more)).select(F.col("node").alias("class"), "root")
+    root = components(_verified(stars, docs, classes, rule)).select(F.col("node").alias("class"), "root")
+    members = classes.select("class", "grp", "n", "sketch")
+    found = written(spark, _nearest(_listed(members, lists, root), rule), "nearest")
+    near = written(spark, found.where("a IS NOT NULL").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), "near")
+    root = _joined(root, _verified(near, docs, classes, rule))
+    # Only lists that hold more pairs than those are gone through once more, with the components as they are now.
+    more = found.where("list IS NOT NULL").select("list", "own").distinct()
+    rest = written(spark, _rest(_listed(members, lists, root).join(more, ["list", "own"], "left_semi"), stars.union(near), rule),
+                   "rest")
+    if rest.take(1):
+        root = _joined(root, _verified(rest, docs, classes, rule))
 
     named = classes.join(root, "class", "left").select("class", "least_id", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
