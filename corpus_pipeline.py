@@ -47,7 +47,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("personal data", sanitised),
     ("best-fit packing", packed),
 ]
-# Classifier, tokenizer and packing program have no SQL form; tests hold every stage against brute force.
+# Classifier, tokenizer and packing program have no SQL form. Tests hold the join, personal data and packing against plain
+# computations, language and decontamination against what must go and what must stay.
 ORACLE_SQL = None
 
 
