@@ -27,7 +27,7 @@ def _hash_block(text: bytes) -> np.ndarray:
     inside = np.arange(start[0], len(b)) - np.repeat(start, np.diff(np.append(start, len(b))))
     weight = NEAR[inside & ((1 << BITS) - 1)]
     if inside[-1] >> BITS or len(b) >> BITS and (inside >> BITS).any():  # a word longer than the table
-        far = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(b) >> BITS, NEAR[-1] * FACTOR)]), dtype=np.uint64)
+        far = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(b) >> BITS, (NEAR[-1:] * FACTOR)[0])]), dtype=np.uint64)
         weight = weight * far[inside >> BITS]
     return mix(np.add.reduceat(LETTER[b[start[0]:]] * weight, start - start[0]))
 
