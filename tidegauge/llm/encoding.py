@@ -1,13 +1,12 @@
 """Token ids of whole texts by the `tokenizers` library, each distinct piece of text encoded once.
 
 Both vocabularies split a text before any merge, and never across the places where a text is cut here, so the ids
-of a text are the ids of its pieces one after another. The library encodes the pieces; a bounded dictionary keeps
-them. Texts in which a cut could fall inside a run of white space are encoded whole.
+of a text are the ids of its pieces one after another. The library encodes the pieces; a dictionary of bounded size keeps
+the ones met lately. Texts in which a cut could fall inside a run of white space are encoded whole.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import string
@@ -29,11 +28,11 @@ class PieceEncoder:
     """`encode(texts)` returns the ids of every text as little-endian unsigned 32-bit bytes.
 
     A vocabulary with a byte-level split keeps the space before a word and the line end; one that drops white space
-    does not. Any other vocabulary is not cut at all. `max_pieces` bounds the dictionary: when it is full it starts
-    anew.
+    does not. Any other vocabulary is not cut at all. `max_pieces` bounds the dictionary (100,000 take about 15 MB): when it
+    is full a new one begins, and the pieces still in use move over from the old one.
     """
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000):
+    def __init__(self, path: str, max_pieces: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -42,6 +41,7 @@ class PieceEncoder:
         self.max_pieces = max_pieces
         self.kind = _kind(self.tokenizer)
         self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         self.marks: dict[str, bytes] = {}
         self.lead = BYTE_LETTERS[32] if self.kind == "keeps" else ""
 
@@ -80,8 +80,11 @@ class PieceEncoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encodes unknown pieces; a word and the ASCII marks after it are separate for both splits."""
-        known, plain = self.known, []
+        known, older, plain = self.known, self.older, []
         for p in new:
+            if p in older:
+                known[p] = older.pop(p)
+                continue
             body = p.removeprefix("\n")
             if self.kind == "keeps" and (not body or body[0].isspace() or body[-1].isspace()):
                 known[p] = None  # a cut inside white space
@@ -111,7 +114,8 @@ class PieceEncoder:
             return self._library(texts)
         known = self.known
         if len(known) > self.max_pieces:
-            known.clear()
+            self.older = known
+            known = self.known = {}
         if self.kind == "drops":
             cut = [t.replace("\n", " ").split(" ") for t in texts]
             seen = set().union(*cut)
@@ -149,9 +153,8 @@ def _kind(tokenizer) -> str:
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, max_pieces: int = 200_000) -> PieceEncoder:
     """One encoder per Python worker and vocabulary."""
     if path not in _encoders:
-        gc.disable()  # nothing here is cyclic, and a full pass over the dictionary is slow
-        _encoders[path] = PieceEncoder(path)
+        _encoders[path] = PieceEncoder(path, max_pieces)
     return _encoders[path]

@@ -23,13 +23,14 @@ from tidegauge.llm.common import prepare, tables, written
 from tidegauge.llm.encoding import ID, encoder
 
 END_ID = 0
+PIECES_KEPT = 100_000  # of text, in the encoder of a worker
 LEAST = 1e-6  # of a piece: less than that lacks nothing
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
 def _piece_rows(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iterator[pa.RecordBatch]:
-    enc, end = encoder(path), np.array([END_ID], ID).tobytes()
+    enc, end = encoder(path, PIECES_KEPT), np.array([END_ID], ID).tobytes()
     for batch in tables(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         rows = []
