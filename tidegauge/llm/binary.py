@@ -77,14 +77,13 @@ def _block_rows(batches: Iterator[pa.RecordBatch], path: str, block_ids: int, sc
     for batch in tables(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         ids_of = batch.column("doc_id").to_pylist()
-        for at in range(0, len(texts), 200):
-            for doc_id, ids in zip(ids_of[at:at + 200], enc.encode(texts[at:at + 200])):
-                parts.append(ids + end)
-                size += len(parts[-1]) // 4
-                doc_ids.append(doc_id)
-                ends.append(size)
-                if size >= block_ids:
-                    yield close()
+        for doc_id, ids in zip(ids_of, enc.encoded(texts)):
+            parts.append(ids + end)
+            size += len(parts[-1]) // 4
+            doc_ids.append(doc_id)
+            ends.append(size)
+            if size >= block_ids:
+                yield close()
     if doc_ids:
         yield close()
 

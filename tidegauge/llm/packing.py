@@ -34,7 +34,7 @@ def _piece_rows(batches: Iterator[pa.RecordBatch], path: str, size: int) -> Iter
     for batch in tables(batches):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         rows = []
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode(texts)):
+        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encoded(texts)):
             ids += end
             for piece, low in enumerate(range(0, len(ids), 4 * size)):
                 part = ids[low:low + 4 * size]
